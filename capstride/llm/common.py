@@ -8,9 +8,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Bytes that the contracts take as white space: blank, and tab to carriage return.
 SPACE_BYTES = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -54,7 +54,7 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = STEP_B
     if not n:
         return
     col = batch.column(column)
-    sizes = np.asarray(pa.compute.binary_length(col).fill_null(0)).astype(np.int64)
+    sizes = np.asarray(pc.binary_length(col).fill_null(0)).astype(np.int64)
     start, total = 0, 0
     for i in range(n):
         if total and total + sizes[i] > limit:
@@ -142,12 +142,16 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return mix(h)
 
 
-def arrow_schema(ddl: str) -> tuple[T.StructType, pa.Schema]:
-    """The same schema for Spark and for Arrow."""
-    from pyspark.sql.pandas.types import to_arrow_schema
+_ARROW = {
+    "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(),
+}
+_ARROW |= {f"array<{k}>": pa.list_(v) for k, v in _ARROW.items()}
 
-    spark_schema = T.StructType.fromDDL(ddl)
-    return spark_schema, to_arrow_schema(spark_schema)
+
+def arrow_schema(ddl: str) -> tuple[str, pa.Schema]:
+    """A flat DDL schema and the same for Arrow; needs no session, so that workers can import it."""
+    fields = [x.split() for x in ddl.split(",")]
+    return ddl, pa.schema([pa.field(name, _ARROW[kind]) for name, kind in fields])
 
 
 def word_count(text) -> F.Column:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from .huffman import op3_token_file
 from .mixing import op5_mixing
 
 
 def queries() -> dict:
-    return {"op5_mixing": op5_mixing}
+    return {"op3_token_file": op3_token_file, "op5_mixing": op5_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
