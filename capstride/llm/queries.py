@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from .huffman import op3_token_file
 from .mixing import op5_mixing
+from .packing import op9_packing
 
 
 def queries() -> dict:
-    return {"op3_token_file": op3_token_file, "op5_mixing": op5_mixing}
+    return {"op3_token_file": op3_token_file, "op5_mixing": op5_mixing, "op9_packing": op9_packing}
 
 
 def oracle_sql() -> dict[str, str]:
