@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from .huffman import op3_token_file
+from .langid import op10_language_id
 from .mixing import op5_mixing
 from .packing import op9_packing
 
 
 def queries() -> dict:
-    return {"op3_token_file": op3_token_file, "op5_mixing": op5_mixing, "op9_packing": op9_packing}
+    return {"op3_token_file": op3_token_file, "op5_mixing": op5_mixing, "op9_packing": op9_packing, "op10_language_id": op10_language_id}
 
 
 def oracle_sql() -> dict[str, str]:
