@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .balltree import OP2_SQL, op2_top_k
 from .huffman import op3_token_file
 from .langid import op10_language_id
 from .mixing import op5_mixing
@@ -9,8 +10,8 @@ from .packing import op9_packing
 
 
 def queries() -> dict:
-    return {"op3_token_file": op3_token_file, "op5_mixing": op5_mixing, "op9_packing": op9_packing, "op10_language_id": op10_language_id}
+    return {"op2_top_k": op2_top_k, "op3_token_file": op3_token_file, "op5_mixing": op5_mixing, "op9_packing": op9_packing, "op10_language_id": op10_language_id}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_top_k": OP2_SQL}
