@@ -7,10 +7,11 @@ from .huffman import op3_token_file
 from .langid import op10_language_id
 from .mixing import op5_mixing
 from .packing import op9_packing
+from .quality import op6_quality
 
 
 def queries() -> dict:
-    return {"op2_top_k": op2_top_k, "op3_token_file": op3_token_file, "op5_mixing": op5_mixing, "op9_packing": op9_packing, "op10_language_id": op10_language_id}
+    return {"op2_top_k": op2_top_k, "op3_token_file": op3_token_file, "op5_mixing": op5_mixing, "op6_quality": op6_quality, "op9_packing": op9_packing, "op10_language_id": op10_language_id}
 
 
 def oracle_sql() -> dict[str, str]:
