@@ -21,11 +21,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .buckets import bucket_components
 from .common import arrow_schema, gram_hashes, mix, read, stage, text_bytes, text_slices, word_hashes, word_spans
-from .graph import components
 
 BANDS, ROWS = 40, 6
 #: Members that one task compares with a copy of the leader's text.
@@ -155,42 +155,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similar: int = 80, fold:
     twice = classes.groupBy("rep").count().where("count > 1").select("rep")
     rows = classes.select("rep", F.explode("buckets").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most")
-    live = stage(rows.join(shared.select("bucket"), "bucket").distinct(), "buckets")
+    live = stage(rows.join(shared.select("bucket"), "bucket").select("bucket", F.col("rep").alias("node")).distinct(), "buckets")
     texts = docs.where("doc_id is not null")
     if twice.limit(1).count():
         texts = texts.dropDuplicates(["doc_id"])
-    links = None
-    label = None
-    done = leaders = 0
-    tried = None
-    while True:
-        if label is None:
-            tagged = live.withColumn("component", F.col("rep"))
-        else:
-            tagged = live.join(label, live.rep == label.node, "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
-        mixed = tagged.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), F.min("rep").alias("least"))
-        mixed = mixed.where((F.col("low") < F.col("high")) & (F.col("n") > done))
-        done, leaders = leaders, (4 * leaders or 1)
-        if done == 0:
-            # the first round needs no ranks: the leader is the smallest id
-            pairs = tagged.join(mixed.select("bucket", "least"), "bucket").where("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
-        else:
-            open_ = stage(tagged.join(mixed.select("bucket"), "bucket"), "open")
-            rank = F.row_number().over(Window.partitionBy("bucket").orderBy("rep"))
-            first = open_.withColumn("rank", rank).where((F.col("rank") <= leaders) & (F.col("rank") > done))
-            first = first.select("bucket", F.col("rep").alias("x"), F.col("component").alias("cx"))
-            pairs = open_.join(first, "bucket").where(F.col("component") != F.col("cx"))
-            pairs = pairs.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        found = stage(verify(stage(pairs, "pairs"), texts, shingle, fold, similar), "links")
-        tried = found.select("a", "b") if tried is None else stage(tried.unionByName(found.select("a", "b")), "tried")
-        new = found.where("linked").select("a", "b")
-        links = new if links is None else links.unionByName(new)
-        if done == 0 or new.limit(1).count():
-            label = stage(components(links), "labels")
-        live = stage(live.join(mixed.select("bucket"), "bucket", "left_semi"), "buckets") if done else live
-        most = live.groupBy("bucket").count().agg(F.max("count")).first()[0] or 0
-        if most <= leaders:
-            break
+    label = bucket_components(live, lambda pairs: verify(pairs, texts, shingle, fold, similar))
+    if label is None:
+        label = classes.select(F.col("rep").alias("node"), F.col("rep").alias("component")).limit(0)
     of = signed.select("doc_id", "n_shingles", "class").join(classes.select("class", "rep"), "class", "left")
     out = of.join(label, of.rep == label.node, "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from .balltree import OP2_SQL, op2_top_k
 from .huffman import op3_token_file
 from .langid import op10_language_id
+from .lines import op8_line_dedup
 from .minhash import op4_near_dedup
 from .mixing import op5_mixing
 from .packing import op9_packing
@@ -12,7 +13,7 @@ from .quality import op6_quality
 
 
 def queries() -> dict:
-    return {"op2_top_k": op2_top_k, "op3_token_file": op3_token_file, "op4_near_dedup": op4_near_dedup, "op5_mixing": op5_mixing, "op6_quality": op6_quality, "op9_packing": op9_packing, "op10_language_id": op10_language_id}
+    return {"op2_top_k": op2_top_k, "op3_token_file": op3_token_file, "op4_near_dedup": op4_near_dedup, "op5_mixing": op5_mixing, "op6_quality": op6_quality, "op8_line_dedup": op8_line_dedup, "op9_packing": op9_packing, "op10_language_id": op10_language_id}
 
 
 def oracle_sql() -> dict[str, str]:
