@@ -10,11 +10,12 @@ from .minhash import op4_near_dedup
 from .mixing import op5_mixing
 from .packing import op9_packing
 from .quality import op6_quality
+from .substrings import op1_substring_dedup
 
 
 def queries() -> dict:
-    return {"op2_top_k": op2_top_k, "op3_token_file": op3_token_file, "op4_near_dedup": op4_near_dedup, "op5_mixing": op5_mixing, "op6_quality": op6_quality, "op8_line_dedup": op8_line_dedup, "op9_packing": op9_packing, "op10_language_id": op10_language_id}
+    return {"op1_substring_dedup": op1_substring_dedup, "op2_top_k": op2_top_k, "op3_token_file": op3_token_file, "op4_near_dedup": op4_near_dedup, "op5_mixing": op5_mixing, "op6_quality": op6_quality, "op8_line_dedup": op8_line_dedup, "op9_packing": op9_packing, "op10_language_id": op10_language_id}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_top_k": OP2_SQL}
+    return {"op1_substring_dedup": op1_substring_dedup, "op2_top_k": OP2_SQL}
