@@ -4,53 +4,104 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stage
-from .graph import components
+from .graph import relabel
 
+#: Up to so many rows (of at most 24 bytes) the small side of a join goes to every executor; above, both are shuffled.
+BROADCAST_ROWS = 500_000
+#: Leaders of the next round for each of this one.
+GROWTH = 8
 
-def bucket_components(live: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
+
+def beside(rows: DataFrame, small: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Join `small` to `rows`: broadcast if its checked size allows, else by shuffling both."""
+    few = small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(small) if few else small, on, how)
+
+
+def shared_buckets(rows: DataFrame) -> DataFrame:
+    """Of rows (bucket, node), those whose bucket has two nodes or more, once each; partitions stream in sorted order."""
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            b, n = batch.column("bucket").to_numpy(), batch.column("node").to_numpy()
+            if held is not None:
+                b, n = np.concatenate([held[0], b]), np.concatenate([held[1], n])
+            new = np.ones(len(b), bool)
+            new[1:] = (b[1:] != b[:-1]) | (n[1:] != n[:-1])
+            b, n = b[new], n[new]
+            same = b[1:] == b[:-1]
+            keep = np.concatenate([same, [False]]) | np.concatenate([[held is not None and held[2]], same])
+            # the last row waits for what follows it
+            held = (b[-1:], n[-1:], bool(keep[-1]))
+            yield pa.RecordBatch.from_arrays([pa.array(b[:-1][keep[:-1]]), pa.array(n[:-1][keep[:-1]])], names=["bucket", "node"])
+        if held is not None and held[2]:
+            yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1])], names=["bucket", "node"])
+
+    return rows.select("bucket", "node").repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(run, "bucket long, node long")
+
+
+def bucket_components(live: DataFrame, verify: Callable[[DataFrame], DataFrame], facts: DataFrame, possible: Callable) -> DataFrame | None:
     """(node, component) of all linked nodes, or None if nothing is linked.
 
     `live` is staged rows (bucket, node) without repeats, of buckets with two nodes or more.  `verify` turns pairs
-    (a, b), a < b, into (a, b, linked).  In the first round all members of a bucket meet its smallest node; later, in
-    buckets that still touch several components, four times as many leaders meet all members of other components.  It
-    ends when every two members of a bucket have met or are connected, so that no link is lost.
+    (a, b) into (a, b, linked).  `facts` (node, fact) has a struct for each node; possible(fact, fact) is a native
+    condition without which two nodes can't be linked, so that most pairs of one bucket are never made.
+
+    Nodes in large buckets are popular: in a group of near copies, they are the ones most others resemble.  In each
+    round, the k most popular nodes of a bucket lead, and a node outside the bucket's main component meets the k most
+    popular leaders of all its buckets that it has not met and is not connected with; k starts at 1 and grows eightfold.
+    So a group soon hangs together, and only what is similar to none of the leaders meets more of them.  It ends when
+    no two nodes of a bucket are neither met nor connected, so that no link is lost.
     """
-    label = links = tried = None
-    done, leaders = 0, 1
+    counts = live.groupBy("bucket").agg(F.count("*").alias("n"))
+    weights = live.join(counts, "bucket").groupBy("node").agg(F.sum("n").alias("weight"))
+    live = stage(live.join(weights.join(facts, "node"), "node"), "weighed")
+    label = tried = None
+    k = 1
     while True:
         if label is None:
             tagged = live.withColumn("component", F.col("node"))
         else:
             known = label.withColumnRenamed("node", "known")
-            tagged = live.join(known, live.node == known.known, "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-        mixed = tagged.groupBy("bucket").agg(
-            F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), F.min("node").alias("least")
-        )
-        mixed = mixed.where((F.col("low") < F.col("high")) & (F.col("n") > done))
-        if not done:
-            # no ranks: the leader is the smallest node
-            pairs = tagged.join(mixed.select("bucket", "least"), "bucket").where("node <> least")
-            pairs = pairs.select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
+            tagged = live.join(known, live.node == known.known, "left").select("bucket", "node", "weight", "fact", F.coalesce("component", "node").alias("component"))
+        parts = tagged.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+        mixed = parts.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("main"), F.count("*").alias("parts"), F.sum("n").alias("n"))
+        open_ = stage(tagged.join(mixed.where("parts > 1").select("bucket", "main.component", "n").withColumnRenamed("component", "main"), "bucket"), "open")
+        most = open_.agg(F.max("n")).first()[0] or 0
+        if not most:
+            break
+        live = open_.select("bucket", "node", "weight", "fact")
+        if k == 1:
+            best = F.max(F.struct("weight", "node", "component", "fact")).alias("best")
+            leaders = open_.groupBy("bucket").agg(best).select("bucket", F.col("best.weight").alias("weight_x"), F.col("best.node").alias("x"), F.col("best.component").alias("of_x"), F.col("best.fact").alias("fact_x"))
         else:
-            tagged = stage(tagged.join(mixed.select("bucket"), "bucket"), "open")
-            live = tagged.select("bucket", "node")
-            most = live.groupBy("bucket").count().agg(F.max("count")).first()[0] or 0
-            if most <= done:
+            rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("weight"), F.desc("node")))
+            leaders = open_.withColumn("rank", rank).where(F.col("rank") <= k)
+            leaders = leaders.select("bucket", F.col("weight").alias("weight_x"), F.col("node").alias("x"), F.col("component").alias("of_x"), F.col("fact").alias("fact_x"))
+        met = open_.where("component <> main").join(leaders, "bucket").where((F.col("component") != F.col("of_x")) & possible(F.col("fact"), F.col("fact_x")))
+        met = met.select("node", "weight", "x", "weight_x").distinct()
+        ahead = F.struct("weight_x", "x") > F.struct("weight", "node")
+        met = met.withColumn("a", F.when(ahead, F.col("x")).otherwise(F.col("node"))).withColumn("b", F.when(ahead, F.col("node")).otherwise(F.col("x")))
+        if tried is not None:
+            met = met.join(tried, ["a", "b"], "left_anti")
+        rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("weight_x"), F.desc("x")))
+        pairs = stage(met.withColumn("rank", rank).where(F.col("rank") <= k).select("a", "b").distinct(), "pairs")
+        if not pairs.limit(1).count():
+            if k >= most:
                 break
-            rank = F.row_number().over(Window.partitionBy("bucket").orderBy("node"))
-            first = tagged.withColumn("rank", rank).where((F.col("rank") > done) & (F.col("rank") <= leaders))
-            first = first.select("bucket", F.col("node").alias("x"), F.col("component").alias("of_x"))
-            pairs = tagged.join(first, "bucket").where(F.col("component") != F.col("of_x"))
-            pairs = pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        found = stage(verify(stage(pairs, "pairs")), "links")
+            k *= GROWTH
+            continue
+        found = stage(verify(pairs), "links")
         tried = found.select("a", "b") if tried is None else tried.unionByName(found.select("a", "b"))
         new = found.where("linked").select("a", "b")
         if new.limit(1).count():
-            links = new if links is None else links.unionByName(new)
-            label = stage(components(links), "labels")
-        done, leaders = leaders, 4 * leaders
+            label = stage(relabel(label, new), "labels")
+        k *= GROWTH
     return label

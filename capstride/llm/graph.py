@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from .common import stage
 
 
-def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-    return tuple(row)
+def _settled(edges: DataFrame) -> bool:
+    """Whether the edges (a, b) are stars: each a has one b, and no b is an a."""
+    nodes = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("root")).unionByName(
+        edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("root"))
+    )
+    ups = nodes.groupBy("node").agg(F.sum("up").alias("up"), F.max("root").alias("root"))
+    return not ups.where("up > 1 or up > 0 and root > 0").limit(1).count()
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -19,25 +23,31 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Every step joins and aggregates by node with map-side minima, so that no neighbourhood is gathered in one task;
     the edges are staged after each step.  Loops and repeated edges do no harm; an empty table gives none.
     """
-    big, small = F.greatest("a", "b"), F.least("a", "b")
-    edges = stage(edges.where("a is not null and b is not null and a <> b").select(big.alias("a"), small.alias("b")).distinct(), "edges")
-    before = None
+    edges = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     for _ in range(rounds):
         # large star: what is larger than a node moves to the least of its neighbours and itself
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        edges = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        edges = stage(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "edges")
+        if _settled(edges):
+            break
         # small star: a node and what is smaller move to the least of these
         least = edges.groupBy("a").agg(F.min("b").alias("m"))
-        moved = edges.join(least, "a")
-        edges = moved.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = stage(edges.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
-        now = _mark(edges)
-        if now == before:
-            break
-        before = now
+        moved = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        edges = stage(moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
     else:
         raise RuntimeError("components did not settle")
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
-        edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    )
+    roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+
+
+def relabel(label: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Add links (a, b) to known components (node, component); only what the links touch is solved again."""
+    if label is None:
+        return components(links)
+    known = label.select(F.col("node").alias("known"), "component")
+    ends = links.join(known, links.a == known.known, "left").select(F.coalesce("component", "a").alias("a"), "b")
+    ends = ends.join(known, ends.b == known.known, "left").select("a", F.coalesce("component", "b").alias("b"))
+    moved = stage(components(stage(ends.distinct(), "ends")), "moved").select("node", F.col("component").alias("new"))
+    old = label.join(moved.withColumnRenamed("node", "of"), F.col("component") == F.col("of"), "left").select("node", F.coalesce("new", "component").alias("component"))
+    return old.unionByName(moved.join(label, "node", "left_anti").select("node", F.col("new").alias("component")))

@@ -2,10 +2,10 @@
 
 A document's set has a 64-bit hash for each distinct run of `shingle` words.  Each permutation of these hashes gives
 two values, its minimum and its maximum, so that half as many evaluations make a signature; bands of ROWS values become
-buckets.  Documents with equal sets form a class, and only its smallest doc_id is compared.  In a bucket, members are
-compared with its leaders: first the smallest id, then, in buckets that still touch several components, four times as
-many members in each round, until every two members were compared or are connected.  So no pair that shares a bucket
-is lost, and a bucket of near copies costs about as many comparisons as it has members.  A link counts only when the
+buckets.  Documents with equal sets form a class, and only its smallest doc_id is compared.  Members of a bucket are
+compared with its most popular ones, in rounds, until every two were compared or are connected (see buckets.py).  So no
+pair that shares a bucket is lost, and a group of near copies costs few comparisons a member.  Sizes, and one bit of each
+value, tell most pairs that can't be similar enough before they are made (a linked pair fails this test once in 2e7).  A link counts only when the
 full sets agree by `similar` percent; components of all links are the result.
 
 The chance that a pair of similarity 0.85 shares none of the 40 buckets of 6 values is 6e-9, and 6e-6 at 0.8.
@@ -24,10 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .buckets import bucket_components
+from .buckets import beside, bucket_components, shared_buckets
 from .common import arrow_schema, gram_hashes, mix, read, stage, text_bytes, text_slices, word_hashes, word_spans
 
 BANDS, ROWS = 40, 6
+WORDS = -(-BANDS * ROWS // 64)
+#: Standard deviations by which the bits of a linked pair may fall short of what its similarity lets expect.
+SLACK = 5.5
 #: Members that one task compares with a copy of the leader's text.
 SALT_PAIRS = 256
 
@@ -60,10 +63,15 @@ def _multipliers(n: int) -> np.ndarray:
     return np.random.default_rng(4).integers(0, 2**32, n, dtype=np.uint32) | np.uint32(1)
 
 
-def signatures(grams: np.ndarray, off: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    """Bucket hashes (texts x bands); rows / 2 permutations a band, each with its minimum and maximum.  No set is empty."""
+def signatures(grams: np.ndarray, off: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket hashes (texts x bands) and a bit of each value (texts x words of 64).  No set is empty.
+
+    A band has rows / 2 permutations, each with its minimum and maximum.
+    """
     n = len(off) - 1
     out = np.zeros((n, bands), np.uint64)
+    bits = np.zeros((n, -(-bands * rows // 64)), np.uint64)
+    multipliers = _multipliers(bands * rows // 2)
     # bounded steps of texts keep the values in the processor's cache
     low = 0
     while low < n:
@@ -72,17 +80,19 @@ def signatures(grams: np.ndarray, off: np.ndarray, bands: int = BANDS, rows: int
         at = off[low:high] - off[low]
         for band in range(bands):
             h = np.full(high - low, band + 1, np.uint64)
-            for a in _multipliers(bands * rows // 2)[band * rows // 2 : (band + 1) * rows // 2]:
-                y = x * a
+            for k in range(band * rows // 2, (band + 1) * rows // 2):
+                y = x * multipliers[k]
                 y ^= y >> np.uint32(15)
-                h = mix(h + np.minimum.reduceat(y, at).astype(np.uint64))
-                h = mix(h + np.maximum.reduceat(y, at).astype(np.uint64))
+                for nth, extreme in ((2 * k, np.minimum), (2 * k + 1, np.maximum)):
+                    v = mix(extreme.reduceat(y, at).astype(np.uint64) + np.uint64(nth))
+                    h = mix(h + v)
+                    bits[low:high, nth >> 6] |= (v & np.uint64(1)) << np.uint64(nth & 63)
             out[low:high, band] = h
         low = high
-    return out
+    return out, bits
 
 
-_SIGNED, _SIGNED_ARROW = arrow_schema("doc_id long, n_shingles long, class binary, buckets array<long>")
+_SIGNED, _SIGNED_ARROW = arrow_schema("doc_id long, n_shingles long, class binary, buckets array<long>, bits array<long>")
 _LINKS, _LINKS_ARROW = arrow_schema("a long, b long, linked boolean")
 
 
@@ -96,15 +106,14 @@ def sign(docs: DataFrame, shingle: int, fold: bool = True) -> DataFrame:
                 grams, at = shingle_sets(raw, off, shingle, fold)
                 sizes = np.diff(at)
                 some = np.flatnonzero(sizes)
-                buckets = signatures(grams, np.concatenate([at[some], at[-1:]])) if len(some) else np.zeros((0, BANDS), np.uint64)
+                buckets, bits = signatures(grams, np.concatenate([at[some], at[-1:]])) if len(some) else (np.zeros((0, BANDS), np.uint64), np.zeros((0, WORDS), np.uint64))
                 classes: list = [None] * len(sizes)
                 for i in some.tolist():
                     classes[i] = hashlib.blake2b(grams[at[i] : at[i + 1]].tobytes(), digest_size=16).digest()
-                full = np.zeros(len(sizes) + 1, np.int32)
-                full[1:] = np.cumsum(np.where(sizes > 0, BANDS, 0))
-                lists = pa.ListArray.from_arrays(pa.array(full), pa.array(buckets.reshape(-1).view(np.int64)))
+                upto = np.concatenate([[0], np.cumsum(sizes > 0)]).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(upto * np.int32(x.shape[1])), pa.array(x.reshape(-1).view(np.int64))) for x in (buckets, bits)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").cast(pa.int64()), pa.array(sizes), pa.array(classes, pa.binary()), lists], schema=_SIGNED_ARROW
+                    [part.column("doc_id").cast(pa.int64()), pa.array(sizes), pa.array(classes, pa.binary()), *lists], schema=_SIGNED_ARROW
                 )
 
     return docs.select("doc_id", "text").mapInArrow(run, _SIGNED)
@@ -120,7 +129,7 @@ def verify(pairs: DataFrame, docs: DataFrame, shingle: int, fold: bool, similar:
     leaders = salts.select("a", F.lit(None).cast("long").alias("b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     wanted = members.withColumn("id", F.col("b")).unionByName(leaders.withColumn("id", F.col("a")))
     texts = docs.select(F.col("doc_id").alias("id"), "text")
-    rows = wanted.join(texts, "id").select("a", "salt", "b", "text")
+    rows = beside(texts, wanted, "id").select("a", "salt", "b", "text")
 
     def run(batches):
         leader, own = None, None
@@ -145,21 +154,31 @@ def verify(pairs: DataFrame, docs: DataFrame, shingle: int, fold: bool, similar:
     return by.mapInArrow(run, _LINKS)
 
 
+def possible(x, y, similar: int):
+    """Sizes that allow the similarity, and bits that agree as often as it lets expect, but for SLACK deviations."""
+    share = (1 + similar / 100) / 2
+    total = BANDS * ROWS
+    least = int(total * share - SLACK * (total * share * (1 - share)) ** 0.5)
+    apart = sum((F.bit_count(F.get(x["bits"], F.lit(i)).bitwiseXOR(F.get(y["bits"], F.lit(i)))) for i in range(1, WORDS)), F.bit_count(F.get(x["bits"], F.lit(0)).bitwiseXOR(F.get(y["bits"], F.lit(0)))))
+    return (100 * F.least(x["n"], y["n"]) >= similar * F.greatest(x["n"], y["n"])) & (apart <= total - least)
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, similar: int = 80, fold: bool = True) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of documents."""
     signed = stage(sign(docs, shingle, fold), "signed")
     classes = stage(
-        signed.where("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.min("buckets").alias("buckets")), "classes"
+        signed.where("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.min("buckets").alias("buckets"), F.min("bits").alias("bits"), F.min("n_shingles").alias("n")), "classes"
     )
     # ids may repeat with different texts: then an id is in several classes, and these are one component
     twice = classes.groupBy("rep").count().where("count > 1").select("rep")
-    rows = classes.select("rep", F.explode("buckets").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most")
-    live = stage(rows.join(shared.select("bucket"), "bucket").select("bucket", F.col("rep").alias("node")).distinct(), "buckets")
-    texts = docs.where("doc_id is not null")
+    live = stage(shared_buckets(classes.select(F.col("rep").alias("node"), F.explode("buckets").alias("bucket"))), "buckets")
+    # texts that have company in a bucket are laid aside once for all rounds
+    texts = beside(docs.select("doc_id", "text"), live.select(F.col("node").alias("doc_id")).distinct(), "doc_id")
     if twice.limit(1).count():
         texts = texts.dropDuplicates(["doc_id"])
-    label = bucket_components(live, lambda pairs: verify(pairs, texts, shingle, fold, similar))
+    texts = stage(texts, "texts")
+    facts = classes.groupBy("rep").agg(F.min(F.struct("n", "bits")).alias("fact")).withColumnRenamed("rep", "node")
+    label = bucket_components(live, lambda pairs: verify(pairs, texts, shingle, fold, similar), facts, lambda x, y: possible(x, y, similar))
     if label is None:
         label = classes.select(F.col("rep").alias("node"), F.col("rep").alias("component")).limit(0)
     of = signed.select("doc_id", "n_shingles", "class").join(classes.select("class", "rep"), "class", "left")
