@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_schema, read, shared_dir, stage, text_slices
-from .tokens import encoder
+from .tokens import ENCODE_BYTES, encoder
 
 #: Longest code; the decoding table has 2 ** MAX_BITS entries.
 MAX_BITS = 18
@@ -137,7 +137,7 @@ def decode_marks(raw: np.ndarray, bit_at: np.ndarray, counts: np.ndarray, symbol
     return out
 
 
-_STAGED, _STAGED_ARROW = arrow_schema("doc_id long, ids binary")
+_STAGED, _STAGED_ARROW = arrow_schema("counts boolean, doc_id long, ids binary")
 _CODED, _CODED_ARROW = arrow_schema("doc_id long, n_ids long, bits binary, marks binary")
 _BLOCKS, _BLOCKS_ARROW = arrow_schema(
     "part int, seq long, block_start long, n_ids long, doc_ids array<long>, counts array<long>, byte_sizes array<long>, bits binary, marks binary"
@@ -147,16 +147,22 @@ _IDS, _IDS_ARROW = arrow_schema("part int, doc_id long, in_part long, n_tokens l
 
 
 def tokenize(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, ids) of documents: ids as little-endian 16-bit integers, with the end id."""
+    """(counts, doc_id, ids) of documents: ids as little-endian 16-bit integers, with the end id.
+
+    Each task adds a row with counts true, whose ids are 65,536 counts of 64 bits.
+    """
 
     def run(batches):
         codec = encoder(tokenizer, True)
+        total = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            for part in text_slices(batch):
-                flat, off = codec.encode(part.column("text").to_pylist(), end_id)
-                raw = flat.astype("<u2").tobytes()
-                ids = [raw[2 * off[i] : 2 * off[i + 1]] for i in range(part.num_rows)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(ids, pa.binary())], schema=_STAGED_ARROW)
+            for part in text_slices(batch, limit=ENCODE_BYTES):
+                flat, off = codec.encode(part.column("text"), end_id)
+                total += np.bincount(flat, minlength=1 << 16)
+                n, raw = part.num_rows, flat.astype("<u2").tobytes()
+                ids = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((2 * off).astype(np.int32)), pa.py_buffer(raw)])
+                yield pa.RecordBatch.from_arrays([pa.array([False] * n), part.column("doc_id").cast(pa.int64()), ids], schema=_STAGED_ARROW)
+        yield pa.RecordBatch.from_arrays([pa.array([True]), pa.array([None], pa.int64()), pa.array([total.astype("<i8").tobytes()])], schema=_STAGED_ARROW)
 
     return docs.select("doc_id", "text").mapInArrow(run, _STAGED)
 
@@ -167,21 +173,19 @@ def count_ids(staged: DataFrame) -> Codebook:
     def run(batches):
         total = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            for ids in batch.column("ids"):
-                total += np.bincount(np.frombuffer(ids.as_buffer(), "<u2"), minlength=1 << 16) if len(ids.as_buffer()) > 1 << 17 else 0
-            small = b"".join(x for x in batch.column("ids").to_pylist() if len(x) <= 1 << 17)
-            total += np.bincount(np.frombuffer(small, "<u2"), minlength=1 << 16)
+            for counts in batch.column("ids").to_pylist():
+                total += np.frombuffer(counts, "<i8")
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["id", "n"])
 
-    rows = staged.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = staged.where("counts").select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     rows.sort()
     ids = np.array([r[0] for r in rows], np.int64)
     return Codebook(ids, code_lengths(np.array([r[1] for r in rows], np.int64)))
 
 
 def write_tokens(staged: DataFrame, path: str) -> None:
-    """Write (doc_id, ids) as a token file below `path`."""
+    """Write what tokenize() gives as a token file below `path`."""
     spark = staged.sparkSession
     book = count_ids(staged)
 
@@ -222,7 +226,7 @@ def write_tokens(staged: DataFrame, path: str) -> None:
         if rows:
             yield closed()
 
-    coded = staged.mapInArrow(code, _CODED)
+    coded = staged.where("not counts").select("doc_id", "ids").mapInArrow(code, _CODED)
     ordered = coded.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "bits")
     # bits do not compress any further
     ordered.mapInArrow(block, _BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks")

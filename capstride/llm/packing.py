@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import arrow_schema, read, text_slices
-from .tokens import encoder
+from .tokens import ENCODE_BYTES, encoder
 
 WIDTH = 4096
 END_ID = 2
@@ -154,8 +154,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, width: int = WID
         def stream():
             number = 0
             for batch in batches:
-                for part in text_slices(batch):
-                    flat, off = codec.encode(part.column("text").to_pylist(), end_id)
+                for part in text_slices(batch, limit=ENCODE_BYTES):
+                    flat, off = codec.encode(part.column("text"), end_id)
                     for i, doc_id in enumerate(part.column("doc_id").to_pylist()):
                         ids = flat[off[i] : off[i + 1]]
                         info[number] = (doc_id, len(ids))

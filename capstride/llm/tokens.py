@@ -11,26 +11,30 @@ import os
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Distinct chunks that a worker remembers; when full, it keeps those met twice.  Bounds a worker's memory.
-CACHE_CHUNKS = 1_000_000
+from .common import text_bytes, word_hashes
+
+#: Distinct chunks that a worker remembers, at some 40 bytes each; when full, it keeps those met twice.
+CACHE_CHUNKS = 3_000_000
+#: UTF-8 bytes of text that are encoded at once.
+ENCODE_BYTES = 6 << 20
 #: New chunks that the library gets in one text.
 JOINED = 200
 #: A chunk of its own between chunks, for vocabularies that drop white space.
 BETWEEN = "\ue000"
+#: In front of a text, to tell its first chunk from others.
+FIRST = "\ue001"
 
 
-class _Index(dict):
-    """Numbers chunks as they come; `new` lists those that still want ids."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, chunk: str) -> int:
-        n = self[chunk] = len(self)
-        self.new.append(chunk)
-        return n
+def chunk_hashes(col: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each string; equal hashes within one worker's cache are taken for equal chunks."""
+    raw, off = text_bytes(col)
+    out = np.full(len(off) - 1, 1, np.uint64)
+    some = np.flatnonzero(np.diff(off))
+    out[some] = word_hashes(raw, off[some], off[some + 1])
+    return out
 
 
 class ChunkEncoder:
@@ -48,25 +52,36 @@ class ChunkEncoder:
             self.opens[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t[0] in "\u0120\u010a"]] = True
         else:
             self.between = self.whole(BETWEEN)
+        self.tails = {c: self.whole(c).tolist() for c in ".,!?"}
         self._clear()
 
     def _clear(self) -> None:
-        self.index = _Index()
+        self.hashes = np.zeros(0, np.uint64)  # of known chunks, ascending, and the number of each
+        self.numbers = np.zeros(0, np.int64)
         self.ids = np.zeros(1 << 16, np.uint16)
         self.ends = np.zeros(1 << 16, np.int64)
         self.hits = np.zeros(1 << 16, np.int32)
         self.known = self.used = 0
 
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Numbers of chunks by hash; -1 for what is not known."""
+        if not len(self.hashes):
+            return np.full(len(h), -1)
+        at = np.searchsorted(self.hashes, h)
+        at[at == len(self.hashes)] = 0
+        return np.where(self.hashes[at] == h, self.numbers[at], -1)
+
     def _thin(self) -> None:
         """Forget what was met once; forget all if that leaves too much."""
-        chunks = [c for c, k in self.index.items() if self.hits[k] > 1]
-        ids = [self.ids[self.ends[k] : self.ends[k + 1]] for c, k in self.index.items() if self.hits[k] > 1]
+        keep = np.flatnonzero(self.hits[self.numbers] > 1)
+        h, k = self.hashes[keep], self.numbers[keep]
+        starts, sizes = self.ends[k], self.ends[k + 1] - self.ends[k]
+        upto = np.cumsum(sizes)
+        flat = self.ids[np.arange(int(upto[-1]) if len(upto) else 0) + np.repeat(starts - (upto - sizes), sizes)]
         self._clear()
-        if len(chunks) < CACHE_CHUNKS * 2 // 3:
-            for c in chunks:
-                self.index[c]
-            self.index.new = []
-            self._keep(ids)
+        if len(h) < CACHE_CHUNKS * 2 // 3:
+            self.hashes, self.numbers = h, np.arange(len(h))
+            self._keep(flat, sizes)
 
     def _room(self, name: str, need: int) -> None:
         old = getattr(self, name)
@@ -75,81 +90,131 @@ class ChunkEncoder:
             new[: len(old)] = old
             setattr(self, name, new)
 
-    def _keep(self, found: list) -> None:
+    def _keep(self, flat: np.ndarray, sizes: np.ndarray) -> None:
         """Append ids of chunks in the order of their numbers; a chunk's ids end at ends[number + 1]."""
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        total = int(sizes.sum())
+        n, total = len(sizes), len(flat)
         self._room("ids", self.used + total)
-        self._room("ends", self.known + len(found) + 1)
-        self._room("hits", self.known + len(found))
-        self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), np.uint16, total)
-        self.ends[self.known + 1 : self.known + len(found) + 1] = self.used + np.cumsum(sizes)
-        self.known += len(found)
+        self._room("ends", self.known + n + 1)
+        self._room("hits", self.known + n)
+        self.ids[self.used : self.used + total] = flat
+        self.ends[self.known + 1 : self.known + n + 1] = self.used + np.cumsum(sizes)
+        self.known += n
         self.used += total
 
-    def _joined(self, part: list[str]) -> list[np.ndarray] | None:
+    def _joined(self, part: list[str]) -> list[list[int]] | None:
         """Ids of chunks encoded as one text, or None if the places between them can't be told."""
+        text = "".join(part) if self.blank else f" {BETWEEN} ".join(part)
+        ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        flat, n = np.array(ids, np.uint16), len(part)
         if self.blank:
-            flat = self.whole("".join(part))
-            starts = np.flatnonzero(self.opens[flat])
-            return np.split(flat, starts[1:]) if len(starts) == len(part) and starts[0] == 0 else None
-        text = f" {BETWEEN} ".join(part)
-        flat, m = self.whole(text), len(self.between)
-        at = np.flatnonzero(np.logical_and.reduce([flat[j : len(flat) - m + 1 + j] == self.between[j] for j in range(m)]))
-        if len(at) != len(part) - 1 or text.count(BETWEEN) != len(at):
+            starts = np.flatnonzero(self.opens[flat]).tolist()
+            if len(starts) != n or starts[0]:
+                return None
+            return [ids[a:b] for a, b in zip(starts, [*starts[1:], len(ids)])]
+        m = len(self.between)
+        at = np.flatnonzero(np.logical_and.reduce([flat[j : len(flat) - m + 1 + j] == self.between[j] for j in range(m)])).tolist()
+        if len(at) != n - 1 or text.count(BETWEEN) != n - 1:
             return None
-        return [flat[a:b] for a, b in zip([0, *(at + m)], [*at, len(flat)])]
-
-    def _learn(self) -> None:
-        """Ids of the chunks that are new."""
-        new, self.index.new = self.index.new, []
-        for low in range(0, len(new), JOINED):
-            # a text's first chunk is kept as "\0 chunk", for it has no blank in front
-            part = [c[2:] if c[:2] == "\0 " else c if c[:1] == "\n" else self.blank + c for c in new[low : low + JOINED]]
-            plain = self.blank and any(c[:1] not in " \n" or not c for c in part)
-            found = None if plain or len(part) < 2 else self._joined(part)
-            self._keep(found or [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)])
+        return [ids[a:b] for a, b in zip([0, *[x + m for x in at]], [*at, len(ids)])]
+
+    def _learn(self, new: list[str], hashes: np.ndarray) -> None:
+        """Ids of new chunks, which get the next numbers.
+
+        A word with one mark after it is its word's ids and the mark's: no split joins letters with a mark.
+        """
+        stems: dict[str, object] = {}  # what the library encodes
+        plan = []
+        for c in new:
+            tail = c[-1:]
+            if tail in self.tails and c[:-1].isalpha():
+                c = c[:-1]
+            else:
+                tail = ""
+            stems[c] = None
+            plan.append((c, tail))
+        names = list(stems)
+        known = self._find(chunk_hashes(pa.array(names, pa.string())))
+        starts, ends = self.ends[known].tolist(), self.ends[known + 1].tolist()
+        first, rest = [], []
+        for c, k, low, high in zip(names, known.tolist(), starts, ends):
+            if k >= 0:
+                stems[c] = self.ids[low:high].tolist()
+            elif self.blank and c[:1] == FIRST or not c:
+                first.append(c)  # a text's first chunk has a mark, but no blank in front
+            else:
+                rest.append(c)
+        plain = [c[1:] if c else self.blank for c in first]
+        stems.update(zip(first, (e.ids for e in self.tokenizer.encode_batch_fast(plain, add_special_tokens=False))))
+        for low in range(0, len(rest), JOINED):
+            part = [c if c[0] == "\n" else self.blank + c for c in rest[low : low + JOINED]]
+            found = self._joined(part) or [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            stems.update(zip(rest[low : low + JOINED], found))
+        found = [stems[c] + self.tails[tail] if tail else stems[c] for c, tail in plan]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        numbers = np.arange(self.known, self.known + len(new))
+        self._keep(np.fromiter(chain.from_iterable(found), np.uint16, int(sizes.sum())), sizes)
+        h, k = np.concatenate([self.hashes, hashes]), np.concatenate([self.numbers, numbers])
+        by = np.argsort(h, kind="stable")
+        self.hashes, self.numbers = h[by], k[by]
 
     def whole(self, text: str) -> np.ndarray:
         """The library's own ids of a text."""
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint16)
 
-    def encode(self, texts: list[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def _prepared(self, col: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Texts with a blank before each line feed and a mark in front, and which of them go to the library whole."""
+        if self.blank:
+            spread = pc.replace_substring(col, "\n", " \n")
+            odd = pc.or_(pc.match_substring(spread, "  "), pc.match_substring(spread, "\n "))
+            odd = pc.or_(odd, pc.or_(pc.ends_with(spread, " "), pc.ends_with(spread, "\n")))
+            odd = pc.or_(odd, pc.match_substring(spread, FIRST))
+            whole = np.asarray(odd)
+            spread = pc.binary_join_element_wise(FIRST, pc.if_else(odd, "", spread), "")
+            return spread, whole
+        # this vocabulary has no capitals; before combining marks, they could compose differently
+        raw = col.cast(pa.binary())
+        marks = pc.or_(pc.match_substring(raw, b"\xcc"), pc.match_substring(raw, b"\xcd"))
+        return pc.replace_substring(pc.if_else(marks, col, pc.ascii_lower(col)), "\n", " "), np.zeros(len(col), bool)
+
+    def encode(self, texts, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row and n + 1 offsets, with the id `end` after each text if given; null counts as empty."""
-        if len(self.index) > CACHE_CHUNKS:
+        if self.known > CACHE_CHUNKS:
             self._thin()
-        lists, direct = [], {}
-        for i, text in enumerate(texts):
-            if not text:
-                lists.append([])
-            elif not self.blank:
-                lists.append(text.replace("\n", " ").split(" "))
-            else:
-                spread = text.replace("\n", " \n")
-                if "  " in spread or "\n " in spread or spread[-1] in " \n":
-                    direct[i] = self.whole(text)
-                    lists.append([])
-                else:
-                    parts = spread.split(" ")
-                    parts[0] = "\0 " + parts[0]
-                    lists.append(parts)
-        counts = np.fromiter(map(len, lists), np.int64, len(lists))
-        k = np.fromiter(map(self.index.__getitem__, chain.from_iterable(lists)), np.int64, int(counts.sum()))
-        self._learn()
-        np.add.at(self.hits, k, 1)
-        starts = self.ends[k]
-        sizes = self.ends[k + 1] - starts
-        ends = np.cumsum(sizes)
-        flat = self.ids[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)]
-        off = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
-        if direct or end is not None:
-            tail = [] if end is None else [np.array([end], np.uint16)]
-            parts = [x for i in range(len(texts)) for x in (direct.get(i, flat[off[i] : off[i + 1]]), *tail)]
-            step = 1 + len(tail)
-            sizes = np.fromiter(map(len, parts), np.int64, len(parts)).reshape(-1, step).sum(1) if parts else np.zeros(0, np.int64)
-            flat = np.concatenate(parts) if parts else flat
-            off = np.concatenate([[0], np.cumsum(sizes)])
-        return flat, off
+        col = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        col = col.cast(pa.string()).fill_null("")
+        spread, whole = self._prepared(col)
+        lists = pc.split_pattern(spread, " ")
+        coded = lists.flatten().dictionary_encode()
+        hashes = chunk_hashes(coded.dictionary)
+        own = self._find(hashes)
+        new = np.flatnonzero(own < 0)
+        if len(new):
+            own[new] = np.arange(self.known, self.known + len(new))
+            self._learn(coded.dictionary.take(pa.array(new)).to_pylist(), hashes[new])
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        self.hits[own] += np.bincount(at, minlength=len(own)).astype(np.int32)
+        starts, ends = self.ends[own], self.ends[own + 1]
+        sizes = (ends - starts)[at]
+        upto = np.cumsum(sizes)
+        flat = self.ids[np.arange(int(upto[-1]) if len(upto) else 0) + np.repeat(starts[at] - (upto - sizes), sizes)]
+        off = np.concatenate([[0], upto])[np.asarray(lists.offsets) - lists.offsets[0].as_py()]
+        direct = {int(i): self.whole(col[int(i)].as_py()) for i in np.flatnonzero(whole)}
+        if not direct and end is None:
+            return flat, off
+        tail = 0 if end is None else 1
+        lengths = np.diff(off)
+        for i, ids in direct.items():
+            lengths[i] = len(ids)
+        ends = np.concatenate([[0], np.cumsum(lengths + tail)])
+        out = np.empty(int(ends[-1]), np.uint16)
+        plain = np.repeat(~whole, lengths + tail)
+        if tail:
+            out[ends[1:] - 1] = end
+            plain[ends[1:] - 1] = False
+        out[plain] = flat
+        for i, ids in direct.items():
+            out[ends[i] : ends[i] + len(ids)] = ids
+        return out, ends
 
 
 _ENCODERS: dict[tuple[str, bool], ChunkEncoder] = {}
