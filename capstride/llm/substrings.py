@@ -9,15 +9,16 @@ that such a window covers in a later document goes.
 2.  Passages: around each shared anchor, a document's run of windows with that anchor is a passage of at most
     2 * WINDOW - ANCHOR words.  Passages go to a shard by their anchor.  The passages of an anchor that more than
     HOT_DOCS documents have are reduced to distinct texts with their first documents, which every salt of it gets.
-3.  Automata: a shard confirms the windows that two documents have, compiles them and their first documents into
-    Aho-Corasick automata of at most AUTOMATON_CHARS, and streams its passages through them to find every occurrence.
+3.  Automata: a shard confirms the windows that two documents have, compiles their runs with the same first document
+    into Aho-Corasick automata over about AUTOMATON_CHARS of passages, and streams all passages through them to find
+    every occurrence.
 4.  The covered words of a document are cut.
 
 Matches are of texts, not of hashes: an anchor's hash only tells where to look.
 
 Defined cases: null and empty texts have no words; a null doc_id is never smaller, and such rows stay whole; rows with
 equal doc_ids do not remove each other's words; fewer than WINDOW words have no window; an empty table gives none;
-other columns stay.
+other columns stay, but for those with the names of results, which are replaced.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from .common import arrow_schema, gram_hashes, read, stage, text_bytes, text_sli
 WINDOW, ANCHOR = 13, 4
 #: Documents above which an anchor is dealt to several tasks.
 HOT_DOCS = 5_000
-#: Characters of the patterns of one automaton.
+#: Characters of the passages of one automaton.
 AUTOMATON_CHARS = 4_000_000
 
 
@@ -148,63 +149,97 @@ def passages(rows: DataFrame) -> DataFrame:
 
 
 class Shard:
-    """Passages and first documents of some anchors, resolved by one automaton."""
+    """Passages and first documents of some anchors, resolved by one automaton.
+
+    The automaton's letters are digits of word numbers, of another range for each digit, so that matches start and end
+    at words and a node has few children.
+    """
 
     def __init__(self):
-        self.first: dict[str, int] = {}  # passage text: smallest doc_id
-        self.most: dict[str, int] = {}  # and largest
-        self.found: dict[str, list] = {}  # occurrences
-        self.chars = 0
+        self.groups: list[dict[str, list]] = []  # of each anchor: passage: [smallest doc_id, largest, occurrences]
+        self.size = 0
+
+    def open(self) -> None:
+        """Begin the passages of another anchor."""
+        self.groups.append({})
 
     def add(self, passage: str, doc_id: int, last_id: int, occurrence=None) -> None:
-        known = self.first.get(passage)
-        if known is None:
-            self.first[passage], self.most[passage] = doc_id, last_id
-            self.found[passage] = []
-            self.chars += len(passage)
+        entry = self.groups[-1].get(passage)
+        if entry is None:
+            entry = self.groups[-1][passage] = [doc_id, last_id, []]
+            self.size += len(passage)
         else:
-            self.first[passage] = min(known, doc_id)
-            self.most[passage] = max(self.most[passage], last_id)
+            if doc_id < entry[0]:
+                entry[0] = doc_id
+            if last_id > entry[1]:
+                entry[1] = last_id
         if occurrence:
-            self.found[passage].append(occurrence)
+            entry[2].append(occurrence)
 
     def covered(self):
         """(doc_id, copy, low, high): words that repeated windows cover."""
         import ahocorasick
 
-        window: dict[str, tuple[int, int]] = {}
-        for passage, low in self.first.items():
-            high = self.most[passage]
-            words = passage.split(" ")
-            for i in range(len(words) - WINDOW + 1):
-                text = " ".join(words[i : i + WINDOW])
-                known = window.get(text)
-                window[text] = (low, high) if known is None else (min(low, known[0]), max(high, known[1]))
-        automaton = ahocorasick.Automaton()
-        for text, (low, high) in window.items():
-            if low < high:  # confirmed: two documents have it
-                automaton.add_word(f" {text} ", (low, len(text)))
-        del window
-        if not len(automaton):
+        phrases: dict[tuple[str, ...], int] = {}  # confirmed runs of windows with the same first document
+        streams = []
+        for group in self.groups:
+            split = {p: tuple(p.split(" ")) for p in group}
+            if len(group) == 1:
+                ((p, (low, high, found)),) = group.items()
+                if low < high:
+                    phrases[split[p]] = low
+                    streams.append((split[p], found))
+                continue
+            window: dict[tuple[str, ...], tuple[int, int]] = {}
+            for p, (low, high, _) in group.items():
+                words = split[p]
+                for i in range(len(words) - WINDOW + 1):
+                    w = words[i : i + WINDOW]
+                    known = window.get(w)
+                    window[w] = (low, high) if known is None else (min(low, known[0]), max(high, known[1]))
+            for p, (_, _, found) in group.items():
+                words, begin = split[p], None
+                some = False
+                for i in range(len(words) - WINDOW + 2):
+                    low, high = window[words[i : i + WINDOW]] if i <= len(words) - WINDOW else (0, 0)
+                    if begin is not None and (low >= high or low != of):
+                        phrases[words[begin : i + WINDOW - 1]] = of
+                        begin = None
+                    if low < high and begin is None:
+                        begin, of, some = i, low, True
+                if some:
+                    streams.append((words, found))
+        if not phrases:
             return
+        number: dict[str, int] = {}
+        for words, _ in streams:
+            for w in words:
+                number.setdefault(w, len(number))
+        digits = 1
+        while 256**digits < len(number):
+            digits += 1
+        code = {w: "".join([chr(256 * d + 1 + (n >> 8 * d & 255)) for d in range(digits)]) for w, n in number.items()}
+        automaton = ahocorasick.Automaton()
+        for words, low in phrases.items():
+            automaton.add_word("".join(map(code.__getitem__, words)), (len(words), low))
+        del phrases
         automaton.make_automaton()
-        for passage, found in self.found.items():
+        for words, found in streams:
             if not found:
                 continue
-            # place of each window as a number of words, with its first document
-            hits = [(passage.count(" ", 0, end - size), low) for end, (low, size) in automaton.iter(f" {passage} ")]
+            hits = sorted([((end + 1) // digits - n, n, low) for end, (n, low) in automaton.iter("".join(map(code.__getitem__, words)))])
             for doc_id, copy, start in found:
-                span = None
-                for i, low in hits:
+                begin = end = -1
+                for i, n, low in hits:
                     if low < doc_id:
-                        if span and i <= span[1]:
-                            span[1] = i + WINDOW
+                        if i <= end:
+                            end = max(end, i + n)
                         else:
-                            if span:
-                                yield doc_id, copy, start + span[0], start + span[1]
-                            span = [i, i + WINDOW]
-                if span:
-                    yield doc_id, copy, start + span[0], start + span[1]
+                            if end > 0:
+                                yield doc_id, copy, start + begin, start + end
+                            begin, end = i, i + n
+                if end > 0:
+                    yield doc_id, copy, start + begin, start + end
 
 
 def locate(found: DataFrame) -> DataFrame:
@@ -223,10 +258,11 @@ def locate(found: DataFrame) -> DataFrame:
             out = []
             for anchor, salt, passage, doc_id, last_id, copy, start in zip(*columns):
                 if (anchor, salt) != last:
-                    if shard.chars >= AUTOMATON_CHARS:
+                    if shard.size >= AUTOMATON_CHARS:
                         out += shard.covered()
                         shard = Shard()
                     last = (anchor, salt)
+                    shard.open()
                 shard.add(passage, doc_id, last_id, None if start is None else (doc_id, copy, start))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=_COVERED_ARROW)
@@ -263,6 +299,7 @@ def _cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
 
 def dedup_substrings(docs: DataFrame) -> DataFrame:
     """`docs` with n_words, n_removed and kept: the words that stay, joined by blanks."""
+    docs = docs.drop("n_words", "n_removed", "kept")
     own = document_anchors(docs)
     shared = own.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low < high")
     salts = F.ceil(F.col("n") / HOT_DOCS).cast("int").alias("salts")
