@@ -10,7 +10,8 @@ Learning takes at most LABELLED_ROWS labelled documents, those of the smallest h
 the driver.  Statistics and verdicts of all documents are native expressions over whole texts.
 
 Defined cases: a null or empty text has no words and fails the base rule; null labels and labels without a document
-teach nothing; without both labels the list is empty; repeated documents are judged alike; other columns are ignored.
+teach nothing; without both labels the list is empty; repeated documents are judged alike; other columns stay,
+but for those with the names of results, which are replaced.
 """
 
 from __future__ import annotations
@@ -32,10 +33,18 @@ CUTS, MAX_LITERALS, MAX_RULES = 24, 3, 12
 MIN_COVER, MIN_PURITY = 12, 0.95
 
 
+STATISTICS = (
+    "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_stops", "n_distinct",
+)
+
+
 def with_statistics(docs: DataFrame, extra: bool = True) -> DataFrame:
-    """Add n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (long), and for the rules some more counts."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    df = docs.withColumn("__t", text)
+    """Add n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (long), and for the rules some more counts.
+
+    Columns of `docs` with these names are replaced.
+    """
+    docs = docs.drop(*STATISTICS)
+    df = docs.withColumn("__t", F.coalesce(F.col("text"), F.lit("")))
     df = df.withColumn("__w", F.filter(F.split("__t", SPACE_RE), lambda w: w != ""))
     df = df.withColumn("n_words", F.size("__w").cast("long"))
     df = df.withColumn("__h", F.transform("__w", lambda w: F.xxhash64(w)))
@@ -220,7 +229,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Decisi
 
 def judge(docs: DataFrame, rules: DecisionList) -> DataFrame:
     """Statistics, base_failed and kept beside the columns of `docs`."""
-    df = with_statistics(docs)
+    df = with_statistics(docs.drop("base_failed", "kept"))
     return df.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & rules.column())
 
 
