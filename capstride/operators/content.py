@@ -113,3 +113,43 @@ def copy_as(rows: DataFrame, form: str, data: str = "data") -> DataFrame:
     if form not in forms:
         raise ValueError(f"unknown form {form}")
     return rows.withColumn("copy", forms[form](F.col(data)))
+
+
+def merge_adjacent(segments: DataFrame, most: int = SEGMENT_BYTES) -> DataFrame:
+    """Join segments (stream_id_hex, direction, seq, start, end, data) whose sequences touch, up to `most` bytes.
+
+    Segments without a sequence (datagrams) stay apart.  Greedy in stream order; only the cut into segments changes.
+    """
+    import pyarrow as pa
+
+    schema = pa.schema([("stream_id_hex", pa.string()), ("direction", pa.string()), ("seq", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("data", pa.binary())])
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                touches = held and r["seq"] is not None and held["seq"] is not None and (held["stream_id_hex"], held["direction"]) == (r["stream_id_hex"], r["direction"])
+                if touches and (held["seq"] + len(held["data"])) % 2**32 == r["seq"] and len(held["data"]) + len(r["data"]) <= most:
+                    held["data"] += r["data"]
+                    held["end"] = r["end"]
+                    continue
+                if held:
+                    out.append(held)
+                held = r
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=schema)
+        if held:
+            yield pa.RecordBatch.from_pylist([held], schema=schema)
+
+    rows = segments.select(*schema.names).repartition(*WAY).sortWithinPartitions(*WAY, "start")
+    return rows.mapInArrow(run, "stream_id_hex string, direction string, seq long, start long, end long, data binary")
+
+
+def keep_newest_streams(content: DataFrame, most: int) -> DataFrame:
+    """Drop whole streams, least recently seen first, until `most` bytes are left; the newest always stays."""
+    sizes = content.groupBy("stream_id_hex").agg(F.sum(F.col("end") - F.col("start")).alias("n"), F.max("packet_no").alias("seen"))
+    # one row a stream; the running sum is a global order, so this is for stores that have a cap
+    newer = Window.orderBy(F.desc("seen"), "stream_id_hex").rowsBetween(Window.unboundedPreceding, 0)
+    kept = sizes.withColumn("upto", F.sum("n").over(newer)).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("seen"), "stream_id_hex")))
+    return content.join(kept.where((F.col("upto") <= most) | (F.col("rank") == 1)).select("stream_id_hex"), "stream_id_hex", "left_semi")

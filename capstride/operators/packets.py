@@ -203,3 +203,54 @@ def dump_events(packets: DataFrame) -> DataFrame:
         "packet_no", "ts_sec", "ts_usec", F.lit("packet").alias("analyzer"), F.lit("raw_packet").alias("event_type"), F.length("data").cast("long").alias("length"),
         "link_layer", "linktype", F.to_json(F.struct(native.base64("data").alias("data_base64"))).alias("fields"),
     )
+
+
+def capped_flows(keyed: DataFrame, most: int, timeout_s: int = IDLE_SECONDS) -> DataFrame:
+    """Add `epoch` and `evicted` as a table of at most `most` flows would give them: exact, and so in one partition.
+
+    A new flow in a full table first ends idle flows, else the one seen longest ago (of equals, the smallest id).
+    """
+    import heapq
+
+    def run(batches):
+        seen: dict[str, int] = {}
+        epoch: dict[str, int] = {}
+        heap: list[tuple[int, str]] = []
+        for b in batches:
+            ids, times = b.column("stream_id_hex").to_pylist(), b.column("ts_us").to_pylist()
+            lives, ended = [], []
+            for s, us in zip(ids, times):
+                gone = 0
+                if s not in seen:
+                    if len(seen) >= most:
+                        idle = [k for k, v in seen.items() if us - v > timeout_s * 1_000_000]
+                        for k in idle:
+                            del seen[k]
+                        gone = len(idle)
+                        while len(seen) >= most:
+                            last, k = heapq.heappop(heap)
+                            if seen.get(k) == last:
+                                del seen[k]
+                                gone += 1
+                    epoch[s] = epoch.get(s, -1) + 1
+                seen[s] = us
+                heapq.heappush(heap, (us, s))
+                lives.append(epoch[s])
+                ended.append(gone)
+            yield pa.RecordBatch.from_arrays([b.column("packet_no"), b.column("stream_id_hex"), pa.array(lives, pa.int64()), pa.array(ended, pa.int64())], names=["packet_no", "stream_id_hex", "epoch", "evicted"])
+
+    rows = keyed.select("packet_no", "stream_id_hex", "ts_us").coalesce(1).sortWithinPartitions("packet_no")
+    return rows.mapInArrow(run, "packet_no long, stream_id_hex string, epoch long, evicted long")
+
+
+def routes(decoded: DataFrame, shards: int) -> DataFrame:
+    """shard and fallback_reason: flows go by their id, the rest in turn by packet_no.
+
+    Datagrams of flows with 1024 packets or more are dealt over all shards, for work without state.
+    """
+    busy = decoded.where("protocol = 'udp' and stream_id_hex is not null").groupBy("stream_id_hex").agg(F.count("*").alias("n")).where("n >= 1024")
+    rows = decoded.join(busy.select("stream_id_hex", F.lit(True).alias("striped")), "stream_id_hex", "left")
+    turn = F.pmod(F.col("packet_no"), F.lit(shards))
+    shard = F.when(F.col("stream_id_hex").isNull() | F.coalesce("striped", F.lit(False)), turn).otherwise(F.pmod(F.xxhash64("stream_id_hex"), F.lit(shards)))
+    reason = F.when(F.col("stream_id_hex").isNull(), F.when(F.col("status") == "parsed", "no_ports").otherwise(F.col("status")))
+    return rows.withColumn("shard", shard.cast("int")).withColumn("fallback_reason", reason).withColumn("striped", F.coalesce("striped", F.lit(False)))

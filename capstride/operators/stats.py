@@ -85,3 +85,28 @@ def compare_to_baseline(current: DataFrame, baseline: DataFrame, limit_percent:
     change = F.when(F.col("base_pps") > 0, (F.col("avg_pps") - F.col("base_pps")) * 100 / F.col("base_pps"))
     status = F.when(change.isNull(), "missing_baseline").when(change < -limit_percent, "regression").otherwise("ok")
     return rows.withColumn("change_percent", change).withColumn("status", status)
+
+
+def parser_counters(rows: DataFrame) -> DataFrame:
+    """Chunks, bytes, messages and errors of the fold's tagged rows."""
+    message = F.col("tag") == "message"
+    return rows.agg(
+        F.count_if(F.col("tag") == "chunk").alias("chunks"), F.coalesce(F.sum(F.when(F.col("tag") == "chunk", F.col("size"))), F.lit(0)).alias("chunk_bytes"),
+        F.count_if(message).alias("messages"), *[F.count_if(message & (F.col("protocol") == p)).alias(p) for p in ("http1", "dns", "websocket", "tls")],
+        F.count_if(message & (F.col("kind") == "parse_error")).alias("parse_errors"), F.count_if(F.col("tag") == "stream").alias("stream_events"),
+    )
+
+
+def health(decoded: DataFrame, rows: DataFrame) -> DataFrame:
+    """One row: decode counters beside parser counters."""
+    from .packets import decode_counters
+
+    return decode_counters(decoded).join(F.broadcast(parser_counters(rows)), F.lit(True))  # one row each
+
+
+def save_report(runs: DataFrame, path: str) -> None:
+    runs.write.mode("overwrite").json(path)
+
+
+def load_report(spark, path: str) -> DataFrame:
+    return spark.read.json(path)
