@@ -31,6 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .buckets import beside
 from .common import arrow_schema, gram_hashes, read, stage, text_bytes, text_slices, word_hashes, word_spans
 
 WINDOW, ANCHOR = 13, 4
@@ -65,18 +66,26 @@ def runs(starts: np.ndarray, best: np.ndarray, text: np.ndarray):
     return first, np.diff(np.append(first, len(starts)))
 
 
-_ANCHORS, _ANCHORS_ARROW = arrow_schema("anchor long, doc_id long")
-_PASSAGES, _PASSAGES_ARROW = arrow_schema("anchor long, salts int, doc_id long, copy long, start long, passage string")
+_ANCHORS, _ANCHORS_ARROW = arrow_schema("anchor long, doc_id long, n int")
+_PASSAGES, _PASSAGES_ARROW = arrow_schema("anchor long, doc_id long, copy long, start long, passage string")
 _COVERED, _COVERED_ARROW = arrow_schema("doc_id long, copy long, low long, high long")
 
 
+#: No doc_id is this in practice; it stands for null within numpy.
+_NONE = np.iinfo(np.int64).min
+
+
 def _copy(raw: bytes) -> int:
     """Tells rows with equal doc_ids apart."""
-    return int.from_bytes(hashlib.blake2b(raw, digest_size=7).digest(), "big")
+    return int.from_bytes(hashlib.blake2b(raw, digest_size=3).digest(), "big")
 
 
 def document_anchors(docs: DataFrame) -> DataFrame:
-    """(anchor, doc_id): the distinct anchors of each document."""
+    """(anchor, doc_id, n): the distinct anchors of each document, pre-aggregated.
+
+    An anchor that several documents of a step have is shared for sure: its documents come with n = 0, and one row with
+    their number stands for them.  So however common an anchor is, a step sends one row of it to the anchor's task.
+    """
 
     def run(batches):
         for batch in batches:
@@ -86,17 +95,65 @@ def document_anchors(docs: DataFrame) -> DataFrame:
                 begins, ends, words = word_spans(raw, off)
                 starts, best = anchors(word_hashes(raw, begins, ends), words)
                 text = np.searchsorted(words, starts, side="right") - 1
-                by = np.lexsort((best, text))
+                by = np.lexsort((text, best))
                 text, best = text[by], best[by]
                 new = np.ones(len(by), bool)
                 new[1:] = (text[1:] != text[:-1]) | (best[1:] != best[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(best[new].view(np.int64)), ids.take(pa.array(text[new]))], schema=_ANCHORS_ARROW)
+                text, best = text[new], best[new]
+                first = np.flatnonzero(np.concatenate([[True], best[1:] != best[:-1]])) if len(best) else np.zeros(0, np.int64)
+                count = np.diff(np.append(first, len(best)))
+                known = np.repeat(count, count) > 1
+                text = np.concatenate([text[first], text[known]])
+                best = np.concatenate([best[first], best[known]])
+                n = np.concatenate([count, np.zeros(int(known.sum()), np.int64)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(best.view(np.int64)), ids.take(pa.array(text)), pa.array(n)], schema=_ANCHORS_ARROW)
 
     return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, _ANCHORS)
 
 
+def shared_anchors(rows: DataFrame, hot: int) -> DataFrame:
+    """Of document_anchors(), (anchor, doc_id) of anchors that two documents have; those of more than `hot` also come
+    once with a null doc_id and their number of documents.  Partitions stream in the order of anchors."""
+
+    def run(batches):
+        held = None  # the last row, whether it has company, and the documents of its anchor so far
+        for batch in batches:
+            a, d, n = (batch.column(c).to_numpy() for c in ("anchor", "doc_id", "n"))
+            sure = n == 0
+            out_a, out_d, out_n = [a[sure]], [d[sure]], [n[sure]]
+            a, d, n = a[~sure], d[~sure], n[~sure]
+            size = n.astype(np.int64)
+            if len(a):
+                if held is not None:
+                    a, d, n = np.concatenate([held[0], a]), np.concatenate([held[1], d]), np.concatenate([held[2], n])
+                    size = np.concatenate([held[4], size])
+                same = a[1:] == a[:-1]
+                keep = np.concatenate([same, [False]]) | np.concatenate([[held is not None and held[3]], same])
+                first = np.flatnonzero(np.concatenate([[True], ~same]))
+                total = np.add.reduceat(size, first)
+                held = (a[-1:], d[-1:], n[-1:], bool(keep[-1]), total[-1:])
+                # rows of several documents are among the sure ones
+                go = keep[:-1] & (n[:-1] == 1)
+                many = total[:-1] > hot
+                out_a += [a[:-1][go], a[first[:-1]][many]]
+                out_d += [d[:-1][go], np.full(int(many.sum()), _NONE)]
+                out_n += [n[:-1][go], total[:-1][many].astype(np.int32)]
+            yield emit(out_a, out_d, out_n)
+        if held is not None:
+            last = int(held[3] and held[2][0] == 1)
+            many = held[4] > hot
+            yield emit([held[0][:last], held[0][many]], [held[1][:last], np.full(int(many.sum()), _NONE)], [held[2][:last], held[4][many].astype(np.int32)])
+
+    def emit(a, d, n):
+        d = np.concatenate(d)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(d, mask=d == _NONE), pa.array(np.concatenate(n))], schema=_ANCHORS_ARROW)
+
+    place = F.when(F.col("n") == 0, F.xxhash64("doc_id")).otherwise(F.col("anchor"))
+    return rows.repartition(place).sortWithinPartitions("anchor").mapInArrow(run, _ANCHORS)
+
+
 def passages(rows: DataFrame) -> DataFrame:
-    """Passages of rows (doc_id, text, shared: the text's shared anchors with their salts)."""
+    """Passages of rows (doc_id, text, shared: the text's shared anchors)."""
 
     def run(batches):
         for batch in batches:
@@ -111,14 +168,12 @@ def passages(rows: DataFrame) -> DataFrame:
                 owner = np.repeat(np.arange(len(lists)), np.asarray(pc.list_value_length(lists).fill_null(0)))
                 # shared anchors of a text, found by (text, anchor)
                 keys = np.empty(len(owner), [("t", np.int64), ("a", np.uint64)])
-                keys["t"], keys["a"] = owner, flat.field(0).to_numpy(zero_copy_only=False).view(np.uint64)
-                salts = flat.field(1).to_numpy(zero_copy_only=False)
-                by = np.lexsort((keys["a"], keys["t"]))
-                keys, salts = keys[by], salts[by]
+                keys["t"], keys["a"] = owner, flat.to_numpy(zero_copy_only=False).view(np.uint64)
+                keys = keys[np.lexsort((keys["a"], keys["t"]))]
                 base = np.searchsorted(keys["t"], np.arange(len(lists) + 1))
                 ids = part.column("doc_id").to_pylist()
                 data = raw.tobytes()
-                out: list[list] = [[], [], [], [], [], []]
+                out: list[list] = [[], [], [], [], []]
                 at, size = starts[first], count
                 where, anchor = text[first], best[first]
                 for t in range(len(lists)):
@@ -136,14 +191,13 @@ def passages(rows: DataFrame) -> DataFrame:
                         s, n = int(at[lo + i]), int(size[lo + i])
                         last = s + n + WINDOW - 2
                         out[0].append(int(anchor[lo + i].view(np.int64)))
-                        out[1].append(int(salts[base[t] + k[i]]))
-                        out[2].append(ids[t])
-                        out[3].append(copy)
-                        out[4].append(s - int(words[t]))
-                        out[5].append(b" ".join(data[begins[s] : ends[last]].split()))
+                        out[1].append(ids[t])
+                        out[2].append(copy)
+                        out[3].append(s - int(words[t]))
+                        out[4].append(b" ".join(data[begins[s] : ends[last]].split()))
                 if out[0]:
-                    columns = [pa.array(c, f.type) for c, f in zip(out[:5], _PASSAGES_ARROW)]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array(out[5], pa.binary()).cast(pa.string())], schema=_PASSAGES_ARROW)
+                    columns = [pa.array(c, f.type) for c, f in zip(out[:4], _PASSAGES_ARROW)]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(out[4], pa.binary()).cast(pa.string())], schema=_PASSAGES_ARROW)
 
     return rows.select("doc_id", "text", "shared").mapInArrow(run, _PASSAGES)
 
@@ -300,12 +354,11 @@ def _cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
 def dedup_substrings(docs: DataFrame) -> DataFrame:
     """`docs` with n_words, n_removed and kept: the words that stay, joined by blanks."""
     docs = docs.drop("n_words", "n_removed", "kept")
-    own = document_anchors(docs)
-    shared = own.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low < high")
-    salts = F.ceil(F.col("n") / HOT_DOCS).cast("int").alias("salts")
-    lists = own.join(shared.select("anchor", salts), "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "salts")).alias("shared"))
-    rows = docs.select("doc_id", "text").join(lists, "doc_id")
-    found = stage(passages(rows), "passages")
+    shared = stage(shared_anchors(document_anchors(docs), HOT_DOCS), "anchors")
+    lists = shared.where("doc_id is not null").groupBy("doc_id").agg(F.collect_list("anchor").alias("shared"))
+    found = stage(passages(docs.select("doc_id", "text").join(lists, "doc_id")), "passages")
+    hot = shared.where("doc_id is null").select("anchor", F.ceil(F.col("n") / HOT_DOCS).cast("int").alias("salts"))
+    found = beside(found, hot, "anchor", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
     spans = locate(found).groupBy("doc_id").agg(F.collect_list(F.struct("copy", "low", "high")).alias("__spans"))
     cut = docs.join(spans, "doc_id", "left").withColumn("__cut", F.arrow_udf(_cut, _CUT)("text", "__spans"))
     return cut.select(*[F.col(c) for c in docs.columns], "__cut.n_words", "__cut.n_removed", "__cut.kept")
