@@ -55,8 +55,9 @@ def bucket_components(live: DataFrame, verify: Callable[[DataFrame], DataFrame],
     condition without which two nodes can't be linked, so that most pairs of one bucket are never made.
 
     Nodes in large buckets are popular: in a group of near copies, they are the ones most others resemble.  In each
-    round, the k most popular nodes of a bucket lead, and a node outside the bucket's main component meets the k most
-    popular leaders of all its buckets that it has not met and is not connected with; k starts at 1 and grows eightfold.
+    round, the k / 8 most popular nodes of a bucket (one at least) lead, and a node outside the bucket's main component
+    meets the k most popular leaders of all its buckets that it has not met and is not connected with; k starts at 1 and
+    grows eightfold.
     So a group soon hangs together, and only what is similar to none of the leaders meets more of them.  It ends when
     no two nodes of a bucket are neither met nor connected, so that no link is lost.
     """
@@ -78,12 +79,13 @@ def bucket_components(live: DataFrame, verify: Callable[[DataFrame], DataFrame],
         if not most:
             break
         live = open_.select("bucket", "node", "weight", "fact")
-        if k == 1:
+        m = max(1, k // GROWTH)
+        if m == 1:
             best = F.max(F.struct("weight", "node", "component", "fact")).alias("best")
             leaders = open_.groupBy("bucket").agg(best).select("bucket", F.col("best.weight").alias("weight_x"), F.col("best.node").alias("x"), F.col("best.component").alias("of_x"), F.col("best.fact").alias("fact_x"))
         else:
             rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("weight"), F.desc("node")))
-            leaders = open_.withColumn("rank", rank).where(F.col("rank") <= k)
+            leaders = open_.withColumn("rank", rank).where(F.col("rank") <= m)
             leaders = leaders.select("bucket", F.col("weight").alias("weight_x"), F.col("node").alias("x"), F.col("component").alias("of_x"), F.col("fact").alias("fact_x"))
         met = open_.where("component <> main").join(leaders, "bucket").where((F.col("component") != F.col("of_x")) & possible(F.col("fact"), F.col("fact_x")))
         met = met.select("node", "weight", "x", "weight_x").distinct()
@@ -94,7 +96,7 @@ def bucket_components(live: DataFrame, verify: Callable[[DataFrame], DataFrame],
         rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("weight_x"), F.desc("x")))
         pairs = stage(met.withColumn("rank", rank).where(F.col("rank") <= k).select("a", "b").distinct(), "pairs")
         if not pairs.limit(1).count():
-            if k >= most:
+            if m >= most:
                 break
             k *= GROWTH
             continue

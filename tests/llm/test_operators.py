@@ -153,9 +153,10 @@ def components_of(nodes, links):
 @settings(max_examples=8, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 25), st.integers(0, 25)), min_size=1, max_size=40))
 def test_components(spark, links):
-    got = {r.node: r.component for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
     want = components_of({x for e in links for x in e}, links)
-    assert got == {n: c for n, c in want.items() if any(n in e and e[0] != e[1] for e in links)}
+    for local in (0, 1000):
+        got = {r.node: r.component for r in graph.components(spark.createDataFrame(links, "a long, b long"), local=local).collect()}
+        assert got == {n: c for n, c in want.items() if any(n in e and e[0] != e[1] for e in links)}
 
 
 def test_bucket_components(spark):
