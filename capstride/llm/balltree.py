@@ -185,32 +185,36 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = K, shard_rows: int
     none = np.iinfo(np.int64).max
 
     def search(batches):
-        last, tree = None, None
+        tree, trees = None, []
         for batch in batches:
             for row in batch.to_pylist():
-                dim = row["dim"]
-                if last != row["rows"]:
-                    last = row["rows"]
-                    tree = BallTree(np.frombuffer(row["ids"], np.int64), np.frombuffer(last, np.int64).reshape(-1, dim))
-                ids = np.frombuffer(row["q_ids"], np.int64)
-                q = np.frombuffer(row["q_rows"], np.int64).reshape(-1, dim)
+                ids, x = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["rows"], np.int64).reshape(-1, row["dim"])
+                if not row["query"]:
+                    # a shard may come in two parts; blocks then follow both
+                    trees = [*trees, BallTree(ids, x)] if tree == (row["to"], row["dim"]) else [BallTree(ids, x)]
+                    tree = (row["to"], row["dim"])
+                    continue
+                if tree != (row["to"], row["dim"]):
+                    continue  # no candidates of this length in the shard
                 score, best = np.full(len(ids), _LOW), np.full(len(ids), none)
-                cuts = {c["query_id"]: (c["score"], c["vec_id"]) for c in row.get("cuts") or ()}
-                for i, x in enumerate(ids.tolist()):
-                    if x in cuts:
-                        score[i], best[i] = cuts[x]
-                found = Search(ids, q, k, score, best)
-                every = np.arange(len(ids))
-                found.visit(tree, 0, every, found.bounds(tree, 0, every))
+                cuts = {c["query_id"]: (c["score"], c["vec_id"]) for c in row["cuts"] or ()}
+                for i, q in enumerate(ids.tolist()):
+                    if q in cuts:
+                        score[i], best[i] = cuts[q]
+                found, every = Search(ids, x, k, score, best), np.arange(len(ids))
+                for t in trees:
+                    found.visit(t, 0, every, found.bounds(t, 0, every))
                 i, j = np.nonzero(found.score > _LOW)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[i]), pa.array(found.best[i, j]), pa.array(found.score[i, j])], schema=_FOUND_ARROW
                 )
 
-    def meet(pairs: DataFrame, extra=()) -> DataFrame:
-        by = shards.alias("c").join(pairs.alias("q"), (F.col("c.shard") == F.col("q.to")) & (F.col("c.dim") == F.col("q.dim")))
-        by = by.select("c.shard", "c.dim", "c.ids", "c.rows", F.col("q.ids").alias("q_ids"), F.col("q.rows").alias("q_rows"), *extra)
-        return by.sortWithinPartitions("shard").mapInArrow(search, _FOUND)
+    def meet(pairs: DataFrame) -> DataFrame:
+        # a shard, then the blocks that visit it: neither is copied for the other
+        nothing = F.lit(None).cast("array<struct<query_id: long, score: long, vec_id: long>>").alias("cuts")
+        rows = shards.select(F.col("shard").alias("to"), "dim", F.lit(False).alias("query"), "ids", "rows", nothing)
+        rows = rows.unionByName(pairs.select("to", "dim", F.lit(True).alias("query"), "ids", "rows", "cuts" if "cuts" in pairs.columns else nothing))
+        return rows.repartition("to", "dim").sortWithinPartitions("to", "dim", "query").mapInArrow(search, _FOUND)
 
     home = F.pmod(F.col("shard"), F.lit(n))
     first = stage(meet(blocks.withColumn("to", home)), "first")
@@ -219,7 +223,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = K, shard_rows: int
     block = F.pmod(F.xxhash64("query_id", F.lit("q")), F.lit(sizes["q"])).cast("long")
     cuts = kth.groupBy(block.alias("shard")).agg(F.collect_list(F.struct("query_id", "score", "vec_id")).alias("cuts"))
     others = blocks.join(cuts, "shard", "left").withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>"))).where(F.col("to") != home)
-    rest = meet(others, ["cuts"])
+    rest = meet(others)
     ranked = first.unionByName(rest).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
