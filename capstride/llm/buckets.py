@@ -24,27 +24,63 @@ def beside(rows: DataFrame, small: DataFrame, on, how: str = "inner") -> DataFra
     return rows.join(F.broadcast(small) if few else small, on, how)
 
 
-def shared_buckets(rows: DataFrame) -> DataFrame:
-    """Of rows (bucket, node), those whose bucket has two nodes or more, once each; partitions stream in sorted order."""
+#: Buckets of at most so many nodes are searched for company that is near enough.
+SEARCHED = 64
+
+
+def shared_buckets(rows: DataFrame, distance: int | None = None) -> DataFrame:
+    """Of rows (bucket, node), those whose bucket has two nodes or more, once each; partitions stream in sorted order.
+
+    With `distance`, rows have a 64-bit `sim` too, and in buckets of at most SEARCHED nodes only those stay that differ
+    from another in at most so many bits: most buckets of many lines are chance meetings.
+    """
+    columns = ("bucket", "node") + (("sim",) if distance is not None else ())
 
     def run(batches):
-        held = None
+        held = big = None  # rows of the last bucket, to be judged with what follows; a bucket of which rows are out
         for batch in batches:
-            b, n = batch.column("bucket").to_numpy(), batch.column("node").to_numpy()
+            now = [batch.column(c).to_numpy() for c in columns]
             if held is not None:
-                b, n = np.concatenate([held[0], b]), np.concatenate([held[1], n])
-            new = np.ones(len(b), bool)
-            new[1:] = (b[1:] != b[:-1]) | (n[1:] != n[:-1])
-            b, n = b[new], n[new]
-            same = b[1:] == b[:-1]
-            keep = np.concatenate([same, [False]]) | np.concatenate([[held is not None and held[2]], same])
-            # the last row waits for what follows it
-            held = (b[-1:], n[-1:], bool(keep[-1]))
-            yield pa.RecordBatch.from_arrays([pa.array(b[:-1][keep[:-1]]), pa.array(n[:-1][keep[:-1]])], names=["bucket", "node"])
-        if held is not None and held[2]:
-            yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1])], names=["bucket", "node"])
-
-    return rows.select("bucket", "node").repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(run, "bucket long, node long")
+                now = [np.concatenate(x) for x in zip(held, now)]
+            if not len(now[0]):
+                continue
+            last = int(np.searchsorted(now[0], now[0][-1]))
+            if last or len(now[0]) <= 4 * SEARCHED:
+                held = [x[last:] for x in now]
+                yield emit([x[:last] for x in now], big)
+            else:
+                # one large bucket fills what is held: all its nodes have company
+                held, big = [x[-1:] for x in now], now[0][-1]
+                yield pa.RecordBatch.from_arrays([pa.array(x[:-1]) for x in now[:2]], names=["bucket", "node"])
+        if held is not None:
+            yield emit(held, big)
+
+    def emit(now, big):
+        b, n = now[:2]
+        new = np.ones(len(b), bool)
+        new[1:] = (b[1:] != b[:-1]) | (n[1:] != n[:-1])
+        now = [x[new] for x in now]
+        b = now[0]
+        same = b[1:] == b[:-1]
+        keep = np.concatenate([same, [False]]) | np.concatenate([[False], same]) if len(b) else np.zeros(0, bool)
+        if big is not None:
+            keep |= b == big
+        now = [x[keep] for x in now]
+        if distance is not None and len(now[0]):
+            b, sim = now[0], now[2].view(np.uint64)
+            first = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
+            size = np.repeat(np.diff(np.append(first, len(b))), np.diff(np.append(first, len(b))))
+            near = size > SEARCHED if big is None else (size > SEARCHED) | (b == big)
+            for step in range(1, SEARCHED):
+                at = np.flatnonzero((b[step:] == b[:-step]) & (size[step:] <= SEARCHED))
+                if not len(at):
+                    break
+                at = at[np.bitwise_count(sim[at] ^ sim[at + step]) <= distance]
+                near[at] = near[at + step] = True
+            now = [x[near] for x in now]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in now[:2]], names=["bucket", "node"])
+
+    return rows.select(*columns).repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(run, "bucket long, node long")
 
 
 def bucket_components(live: DataFrame, verify: Callable[[DataFrame], DataFrame], facts: DataFrame, possible: Callable) -> DataFrame | None:

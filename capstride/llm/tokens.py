@@ -17,9 +17,9 @@ import pyarrow.compute as pc
 from .common import text_bytes, word_hashes
 
 #: Distinct chunks that a worker remembers, at some 40 bytes each; when full, it keeps those met twice.
-CACHE_CHUNKS = 3_000_000
+CACHE_CHUNKS = 2_000_000
 #: UTF-8 bytes of text that are encoded at once.
-ENCODE_BYTES = 6 << 20
+ENCODE_BYTES = 3 << 20
 #: New chunks that the library gets in one text.
 JOINED = 200
 #: A chunk of its own between chunks, for vocabularies that drop white space.

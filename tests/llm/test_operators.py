@@ -159,6 +159,19 @@ def test_components(spark, links):
         assert got == {n: c for n, c in want.items() if any(n in e and e[0] != e[1] for e in links)}
 
 
+def test_shared_buckets(spark, monkeypatch):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        rows = [(1, n, 0) for n in range(700)] + [(2, 5, 0), (2, 6, 7), (3, 1, 0), (3, 2, 255), (4, 9, 1)] + [(5, n, (1 << n % 60) - 1) for n in range(100)]
+        df = spark.createDataFrame(rows * 2, "bucket long, node long, sim long")
+        both = {(r.bucket, r.node) for r in buckets.shared_buckets(df).collect()}
+        assert both == {(b, n) for b, n, _ in rows if b != 4}
+        near = [(r.bucket, r.node) for r in buckets.shared_buckets(df, 3).collect()]
+        assert set(near) >= both - {(3, 1), (3, 2)} and (3, 1) not in near
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_bucket_components(spark):
     rng = np.random.default_rng(3)
     rows = sorted({(int(b), int(n)) for b, n in zip(rng.integers(0, 6, 160), rng.integers(0, 60, 160))})
