@@ -28,12 +28,15 @@ def beside(rows: DataFrame, small: DataFrame, on, how: str = "inner") -> DataFra
 SEARCHED = 64
 
 
-def shared_buckets(rows: DataFrame, distance: int | None = None) -> DataFrame:
+def shared_buckets(rows: DataFrame, distance: int | Callable | None = None) -> DataFrame:
     """Of rows (bucket, node), those whose bucket has two nodes or more, once each; partitions stream in sorted order.
 
     With `distance`, rows have a 64-bit `sim` too, and in buckets of at most SEARCHED nodes only those stay that differ
-    from another in at most so many bits: most buckets of many lines are chance meetings.
+    from another in at most so many bits: most buckets of many lines are chance meetings.  `distance` may also be a
+    function that tells for two arrays of `sim` which may be linked; `sim` then stays a column.
     """
+    near_enough = distance if callable(distance) else lambda x, y: np.bitwise_count(x ^ y) <= distance
+    n_out = 3 if callable(distance) else 2
     columns = ("bucket", "node") + (("sim",) if distance is not None else ())
 
     def run(batches):
@@ -51,7 +54,7 @@ def shared_buckets(rows: DataFrame, distance: int | None = None) -> DataFrame:
             else:
                 # one large bucket fills what is held: all its nodes have company
                 held, big = [x[-1:] for x in now], now[0][-1]
-                yield pa.RecordBatch.from_arrays([pa.array(x[:-1]) for x in now[:2]], names=["bucket", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[:-1]) for x in now[:n_out]], names=list(columns[:n_out]))
         if held is not None:
             yield emit(held, big)
 
@@ -75,12 +78,12 @@ def shared_buckets(rows: DataFrame, distance: int | None = None) -> DataFrame:
                 at = np.flatnonzero((b[step:] == b[:-step]) & (size[step:] <= SEARCHED))
                 if not len(at):
                     break
-                at = at[np.bitwise_count(sim[at] ^ sim[at + step]) <= distance]
+                at = at[near_enough(sim[at], sim[at + step])]
                 near[at] = near[at + step] = True
             now = [x[near] for x in now]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in now[:2]], names=["bucket", "node"])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in now[:n_out]], names=list(columns[:n_out]))
 
-    return rows.select(*columns).repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(run, "bucket long, node long")
+    return rows.select(*columns).repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(run, ", ".join(f"{c} long" for c in columns[:n_out]))
 
 
 def bucket_components(live: DataFrame, verify: Callable[[DataFrame], DataFrame], facts: DataFrame, possible: Callable) -> DataFrame | None:

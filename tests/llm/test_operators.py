@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -337,6 +338,48 @@ def test_op8(spark, docs, rows, awkward, nothing):
     assert not lines.dedup_lines(nothing).count()
 
 
+def near_by_edits(forms):
+    """All pairs within 10 % of edits, by brute force behind a bound on counts of characters."""
+    import duckdb
+
+    forms = sorted(forms, key=len)
+    size = np.array([len(f) for f in forms])
+    counts = np.array([np.bincount(np.frombuffer(f.encode("utf-32-le"), np.uint32) % 64, minlength=64) for f in forms])
+    pairs = []
+    for i in range(len(forms)):
+        j = np.arange(i + 1, np.searchsorted(size, size[i] * 100 // 90 + 1, side="right"))
+        more = counts[j] - counts[i]
+        pairs += [(forms[i], forms[x]) for x in j[np.maximum(np.maximum(more, 0).sum(1), np.maximum(-more, 0).sum(1)) <= size[j] // 10]]
+    table = pa.table({"a": [a for a, _ in pairs], "b": [b for _, b in pairs]})
+    return duckdb.from_arrow(table).filter("levenshtein(a, b) <= length(b) // 10").fetchall()
+
+
+def test_op8_edits_alone(spark, rows):
+    """Lines a few edits apart are linked whatever their SimHashes, on the table and with one letter replaced."""
+    texts = [(d, t) for d, t in rows if len(t) < 4000]
+    forms = {f for _, t in texts for x in t.split("\n") if (f := lines.normal_form(x))}
+    rng = np.random.default_rng(1)
+    for f in sorted(f for f in forms if 10 <= len(f) < 600)[::3]:
+        at = rng.choice([i for i, c in enumerate(f) if c != " "])
+        texts.append((5000 + len(texts), f[:at] + ("z" if f[at] != "z" else "y") + f[at + 1 :]))
+    first: dict = {}
+    for d, t in texts:
+        for n, x in enumerate(t.split("\n")):
+            if f := lines.normal_form(x):
+                first.setdefault(f, (d, n))
+    links = near_by_edits(list(first))
+    sims = [lines.simhashes(list(side)) for side in zip(*links)]
+    assert len(links) > 200 and (np.bitwise_count(sims[0] ^ sims[1]) > 3).sum() > 100
+    of = components_of(list(first), links)
+    head: dict = {}
+    for f, place in first.items():
+        head[of[f]] = min(head.get(of[f], place), place)
+    got = by_id(lines.dedup_lines(spark.createDataFrame(texts, "doc_id long, text string"), distance=None))
+    for d, t in texts:
+        kept = [x for n, x in enumerate(t.split("\n")) if not (f := lines.normal_form(x)) or head[of[f]] == (d, n)]
+        assert got[d].text == "\n".join(kept), d
+
+
 def test_op9(spark, rows, awkward, nothing):
     encoder = ChunkEncoder(SMALL, False)
     for df, plain in ((packing.op9_packing(spark, SF), rows), (packing.pack(awkward, SMALL), [(r.doc_id, r.text) for r in awkward.collect()])):
