@@ -168,6 +168,19 @@ def http_events(spark, sf_dir):
     return rows.agg(F.count_if(F.col("kind") == "http_request").alias("requests"), F.count_if(F.col("kind") == "http_response").alias("responses"))
 
 
+@query(
+    "h17_http_events_all",
+    "SELECT CASE WHEN page_id % 2 = 1 THEN 'chunked' ELSE 'content-length' END AS framing, count(*)::BIGINT AS requests, count(*)::BIGINT AS responses FROM pages WHERE url IS NOT NULL GROUP BY 1",
+)
+def http_events_all(spark, sf_dir):
+    """Of all pages; a reply's framing follows from its page."""
+    keyed = packets.with_flow(packets.decode(tables.page_packets(t(spark, sf_dir, "pages"))))
+    clients = keyed.select("stream_id_hex", _client().alias("page_id")).distinct()
+    rows = streams.fold(keyed).where("tag = 'http'").join(clients, "stream_id_hex")
+    framing = F.when(F.col("page_id") % 2 == 1, "chunked").otherwise("content-length").alias("framing")
+    return rows.groupBy(framing).agg(F.count_if(F.col("kind") == "http_request").alias("requests"), F.count_if(F.col("kind") == "http_response").alias("responses"))
+
+
 @query("h10_fixture_mixed")
 def mixed_fixture(spark, sf_dir):
     keyed = packets.with_flow(packets.decode(tables.fixture_packets(spark, "mixed-services", 200, 3)))
@@ -234,6 +247,22 @@ def transform_chunked(spark, sf_dir):
     return done.select("page_id", (F.length("data") - head).cast("long").alias("body_bytes"))
 
 
+@query(
+    "t5_dechunk_all",
+    "SELECT page_id, CASE WHEN page_id % 2 = 1 THEN 'applied' ELSE 'noop' END AS status, octet_length(encode(coalesce(html, '')))::BIGINT AS body_bytes FROM pages WHERE url IS NOT NULL",
+)
+def transform_replies(spark, sf_dir):
+    """Of all pages: chunked replies are joined, those with Content-Length stay as they are."""
+    keyed = packets.with_flow(packets.decode(tables.page_packets(t(spark, sf_dir, "pages"))))
+    clients = keyed.select("stream_id_hex", _client().alias("page_id")).distinct()
+    replies = content.read(content.ranges(streams.fold(keyed).where("tag = 'chunk' AND direction = 'b_to_a'"))).join(clients, "stream_id_hex")
+    done = transforms.transform(replies, "chain:chunked")
+    data = F.when(F.col("transformed.status") == "noop", F.col("data")).otherwise(F.col("transformed.data"))
+    done = done.select("page_id", "transformed.status", data.alias("data"))
+    head = F.length(F.substring_index(native.latin1("data"), "\r\n\r\n", 1)) + 4
+    return done.select("page_id", "status", (F.length("data") - head).cast("long").alias("body_bytes"))
+
+
 # ---- the same operators over plain tables ------------------------------------------------------------------------
 
 
