@@ -435,6 +435,17 @@ def safe_text(spark, sf_dir):
     return content.text_view(rows).select("conv_id", "turn", "text", "lossy")
 
 
+@query(
+    "l3_safe_text_all",
+    """SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[\\x{10000}-\\x{10ffff}]', '....', 'g'), '[\\x{800}-\\x{ffff}]', '...', 'g'),
+    '[\\x{80}-\\x{7ff}]', '..', 'g'), '[^\\n\\r\\t\\x20-\\x7e]', '.', 'g') AS text, regexp_matches(text, '[^\\n\\r\\t\\x20-\\x7e]') AS lossy FROM conversations""",
+)
+def safe_text_all(spark, sf_dir):
+    """Of all turns: a character outside ASCII becomes as many dots as it has UTF-8 bytes."""
+    rows = t(spark, sf_dir, "conversations").select("conv_id", "turn", F.encode("text", "UTF-8").alias("data"))
+    return content.text_view(rows).select("conv_id", "turn", "text", "lossy")
+
+
 @query(
     "l4_hex_rows",
     """SELECT page_id, o::BIGINT AS "offset", trim(regexp_replace(lower(substr(h, o * 2 + 1, 32)), '(..)', '\\1 ', 'g')) AS hex FROM
