@@ -201,15 +201,16 @@ def stream_page(view: DataFrame, query: StreamQuery) -> DataFrame:
     return page.withColumn("next_cursor", F.when(F.col("__all") > most, last + 1)).where(F.col("__n") <= most).drop("__n", "__all")
 
 
-def message_page(messages: DataFrame, order: str, cursor: int = 0, limit: int = 100, **equal) -> DataFrame:
-    """A page of the filtered messages of one stream, with total and next_cursor; the cursor is an offset."""
+def message_page(messages: DataFrame, order: str, cursor: int = 0, limit: int = 100, each: str | None = None, **equal) -> DataFrame:
+    """A page of the filtered messages of one stream, or of each stream by the key `each`, with total and next_cursor; the cursor is an offset."""
     most = max(1, min(MOST_ROWS, limit))
     rows = messages
     for column, value in equal.items():
         if value is not None:
             rows = rows.where(F.col(column) == value)
     # one stream keeps at most KEEP_MESSAGES messages
-    rank, total = F.row_number().over(Window.orderBy(order)) - 1, F.count("*").over(Window.partitionBy())
+    by = [each] if each else []
+    rank, total = F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1, F.count("*").over(Window.partitionBy(*by))
     page = rows.withColumn("offset", rank).withColumn("total", total).where((F.col("offset") >= cursor) & (F.col("offset") < cursor + most))
     return page.withColumn("next_cursor", F.when(F.col("total") > cursor + most, F.lit(cursor + most)))
 

@@ -419,6 +419,16 @@ def message_page(spark, sf_dir):
     return views.message_page(t(spark, sf_dir, "events").where("user_id = 3"), "event_id", 5, 10, event_type="click").select("event_id", "total")
 
 
+@query(
+    "q2_q3_message_page_all",
+    """WITH m AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS offset_, count(*) OVER (PARTITION BY user_id) AS total FROM events WHERE event_type = 'click')
+    SELECT event_id, user_id, total::BIGINT AS total FROM m WHERE offset_ >= 5 AND offset_ < 15""",
+)
+def message_pages(spark, sf_dir):
+    """The page of every user's stream."""
+    return views.message_page(t(spark, sf_dir, "events"), "event_id", 5, 10, each="user_id", event_type="click").select("event_id", "user_id", "total")
+
+
 @query("e5_delta_page", "SELECT event_id AS cursor, true AS missed FROM events WHERE event_id > (SELECT max(event_id) FROM events) - 500 AND event_id > 10 ORDER BY 1 LIMIT 100")
 def delta_page(spark, sf_dir):
     return views.delta_page(t(spark, sf_dir, "events").select(F.col("event_id").alias("cursor")), 10, 500, 100).select("cursor", "missed")
