@@ -129,14 +129,27 @@ def test_op3(spark, rows, awkward, nothing, tmp_path):
     assert all(r.ids == [*tokenizer.encode(texts[r.doc_id] or "", add_special_tokens=False).ids, 2] for r in back)
 
 
-def test_chunk_encoder():
-    texts = ["a  b", " \n b", "\n\n c", "x \n", "", "é'll don't A.", "\x1c\xa0 　y.", "<|endoftext|> z", "  q", " J̌ ǰ", "\nA b, c. c", "a. a", "..", None]
+def test_chunk_encoder(monkeypatch):
+    from tokenizers import Tokenizer
+
+    from capstride.llm import tokens
+
+    texts = ["a <|endoftext|> z", "<|startoftext|>b c <|endoftext|>", "<|ENDOFTEXT|> <|end", "a  b", " \n b", "\n\n c", "x \n", "", "é'll don't A.", "\x1c\xa0 　y.", "<|endoftext|> z", "  q", " J̌ ǰ", "\nA b, c. c", "a. a", "..", None]
     for path, keep in ((BYTE, True), (SMALL, False)):
+        plain = Tokenizer.from_file(path)
+        want = [[*plain.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+        assert 50256 in want[0] or 49407 in want[0]
         e = ChunkEncoder(path, keep)
         for _ in range(2):
             flat, off = e.encode(texts, 2)
-            for i, t in enumerate(texts):
-                assert flat[off[i] : off[i + 1]].tolist() == [*e.whole(t or "").tolist(), 2]
+            assert [flat[off[i] : off[i + 1]].tolist() for i in range(len(texts))] == want
+        # chunks whose hashes are equal are told apart by their bytes
+        with monkeypatch.context() as m:
+            m.setattr(tokens, "chunk_hashes", lambda raw, off: np.diff(off).astype(np.uint64) % np.uint64(3))
+            e = ChunkEncoder(path, keep)
+            for _ in range(2):
+                flat, off = e.encode(texts, 2)
+                assert [flat[off[i] : off[i + 1]].tolist() for i in range(len(texts))] == want
 
 
 def components_of(nodes, links):
@@ -381,7 +394,9 @@ def test_op8_edits_alone(spark, rows):
 
 
 def test_op9(spark, rows, awkward, nothing):
-    encoder = ChunkEncoder(SMALL, False)
+    from tokenizers import Tokenizer
+
+    plain_tokenizer = Tokenizer.from_file(SMALL)
     for df, plain in ((packing.op9_packing(spark, SF), rows), (packing.pack(awkward, SMALL), [(r.doc_id, r.text) for r in awkward.collect()])):
         pieces = collections.defaultdict(list)
         windows = collections.defaultdict(list)
@@ -395,13 +410,17 @@ def test_op9(spark, rows, awkward, nothing):
                 at += length
             assert at <= 4096
         for d, t in plain:
-            if d == 2:
-                continue  # twice there
-            ids, at = np.array([*encoder.whole(t or ""), 2], "<u4"), 0
-            for r in sorted(pieces[d], key=lambda r: r.start):
+            ids, at = np.array([*plain_tokenizer.encode(t or "", add_special_tokens=False).ids, 2], "<u4"), 0
+            twice = [x for x, _ in plain].count(d)  # equal rows, in one piece each
+            for r in sorted(pieces[d], key=lambda r: r.start)[::twice]:
                 assert r.start == at and r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[at : at + r.length])
                 at += r.length
             assert at == len(ids)
+        if len(windows) > 8:
+            # the last windows of an input split may stay partly empty; on the whole, little is padding
+            filled = sum(n for own in windows.values() for _, n in own)
+            room = sum(n if (n := sum(x for _, x in own)) & (n - 1) == 0 else 4096 for own in windows.values())
+            assert filled >= 0.97 * room
     assert not packing.pack(nothing, SMALL).count()
 
 
