@@ -8,41 +8,88 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import stage
+from .common import discard, stage
 from .graph import relabel
 
-#: Up to so many rows (of at most 24 bytes) the small side of a join goes to every executor; above, both are shuffled.
-BROADCAST_ROWS = 500_000
-#: Leaders of the next round for each of this one.
-GROWTH = 8
+#: Up to so many rows, and as many entries of their arrays, the small side of a join goes to every executor; above, both
+#: are shuffled.  Rows and entries are a few longs each, so that this is 20 MB at most.  Results do not depend on it.
+BROADCAST_ROWS = 250_000
+#: Growth of a round's meetings of a node, and of the leaders of a bucket.
+MEETINGS, LEADERS = 4, 8
+#: Buckets of at most so many nodes are searched for company that is near enough; in larger ones all nodes stay.
+SEARCHED = 64
 
 
 def beside(rows: DataFrame, small: DataFrame, on, how: str = "inner") -> DataFrame:
-    """Join `small` to `rows`: broadcast if its checked size allows, else by shuffling both."""
-    few = small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    """Join `small` (whole numbers, and arrays of these) to `rows`: broadcast if its checked size allows, else by shuffling both."""
+    arrays = [F.col(f.name) for f in small.schema if isinstance(f.dataType, T.ArrayType)]
+    entries = sum((F.coalesce(F.size(c), F.lit(0)) for c in arrays), F.lit(0))
+    n, total = small.limit(BROADCAST_ROWS + 1).agg(F.count("*"), F.sum(entries)).first()
+    few = n <= BROADCAST_ROWS and (total or 0) <= BROADCAST_ROWS
     return rows.join(F.broadcast(small) if few else small, on, how)
 
 
-#: Buckets of at most so many nodes are searched for company that is near enough.
-SEARCHED = 64
+def company(bucket: np.ndarray, node: np.ndarray, sim: np.ndarray | None = None, near: Callable | None = None) -> list[np.ndarray]:
+    """Rows (bucket, node[, sim], n) that one step of a task sends to shared_buckets().
+
+    What meets within the step is shared for sure: such rows have n = 0 and are dealt by node.  One row of the bucket
+    stands for them, with n = 2; all others have n = 1.  So however common a bucket is, its own task gets one row of a
+    step.  `near` tells, of two arrays of sims, who may be linked: in small buckets only such rows meet.
+    """
+    by = np.lexsort((node, bucket))
+    rows = [x[by] for x in ((bucket, node) if sim is None else (bucket, node, sim))]
+    b, n = rows[:2]
+    if not len(b):
+        return [*rows, np.zeros(0, np.int64)]
+    new = np.ones(len(b), bool)
+    new[1:] = (b[1:] != b[:-1]) | (n[1:] != n[:-1])
+    rows = [x[new] for x in rows]
+    b = rows[0]
+    meets = _near(b, None if sim is None else rows[2], near)
+    first = np.flatnonzero(meets)
+    first = first[np.concatenate([[True], b[first][1:] != b[first][:-1]])] if len(first) else first
+    at = np.concatenate([np.arange(len(b)), first])
+    return [*[x[at] for x in rows], np.concatenate([np.where(meets, 0, 1), np.full(len(first), 2)])]
+
+
+def _near(b: np.ndarray, sim: np.ndarray | None, near: Callable | None) -> np.ndarray:
+    """Which rows of sorted buckets have another (that may be linked, in buckets of at most SEARCHED rows)."""
+    if not len(b):
+        return np.zeros(0, bool)
+    first = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
+    count = np.diff(np.append(first, len(b)))
+    size = np.repeat(count, count)
+    if near is None:
+        return size > 1
+    out = size > SEARCHED
+    for step in range(1, SEARCHED):
+        at = np.flatnonzero((b[step:] == b[:-step]) & (size[step:] <= SEARCHED))
+        if not len(at):
+            break
+        at = at[near(sim[at], sim[at + step])]
+        out[at] = out[at + step] = True
+    return out
 
 
-def shared_buckets(rows: DataFrame, distance: int | Callable | None = None) -> DataFrame:
-    """Of rows (bucket, node), those whose bucket has two nodes or more, once each; partitions stream in sorted order.
+def shared_buckets(rows: DataFrame, near: Callable | None = None) -> DataFrame:
+    """Of rows as company() makes them, (bucket, node[, sim]) of buckets with two nodes or more; partitions stream in order.
 
-    With `distance`, rows have a 64-bit `sim` too, and in buckets of at most SEARCHED nodes only those stay that differ
-    from another in at most so many bits: most buckets of many lines are chance meetings.  `distance` may also be a
-    function that tells for two arrays of `sim` which may be linked; `sim` then stays a column.
+    With `near`, rows have a 64-bit `sim`, and in buckets of at most SEARCHED rows only those stay that may be linked
+    with another: most buckets of many lines are chance meetings.  A row may come twice.
     """
-    near_enough = distance if callable(distance) else lambda x, y: np.bitwise_count(x ^ y) <= distance
-    n_out = 3 if callable(distance) else 2
-    columns = ("bucket", "node") + (("sim",) if distance is not None else ())
+    columns = ("bucket", "node", "n") + (("sim",) if near is not None else ())
+    out_columns = [c for c in columns if c != "n"]
 
     def run(batches):
         held = big = None  # rows of the last bucket, to be judged with what follows; a bucket of which rows are out
         for batch in batches:
             now = [batch.column(c).to_numpy() for c in columns]
+            sure = now[2] == 0
+            if sure.any():
+                yield out([x[sure] for x in now])
+                now = [x[~sure] for x in now]
             if held is not None:
                 now = [np.concatenate(x) for x in zip(held, now)]
             if not len(now[0]):
@@ -50,61 +97,59 @@ def shared_buckets(rows: DataFrame, distance: int | Callable | None = None) -> D
             last = int(np.searchsorted(now[0], now[0][-1]))
             if last or len(now[0]) <= 4 * SEARCHED:
                 held = [x[last:] for x in now]
-                yield emit([x[:last] for x in now], big)
+                yield out(judged([x[:last] for x in now], big))
             else:
                 # one large bucket fills what is held: all its nodes have company
                 held, big = [x[-1:] for x in now], now[0][-1]
-                yield pa.RecordBatch.from_arrays([pa.array(x[:-1]) for x in now[:n_out]], names=list(columns[:n_out]))
+                yield out([x[:-1][now[2][:-1] == 1] for x in now])
         if held is not None:
-            yield emit(held, big)
+            yield out(judged(held, big))
 
-    def emit(now, big):
-        b, n = now[:2]
+    def judged(now, big):
+        b, n, stands = now[:3]
         new = np.ones(len(b), bool)
-        new[1:] = (b[1:] != b[:-1]) | (n[1:] != n[:-1])
+        new[1:] = (b[1:] != b[:-1]) | (n[1:] != n[:-1]) | (stands[1:] != stands[:-1])
         now = [x[new] for x in now]
-        b = now[0]
-        same = b[1:] == b[:-1]
-        keep = np.concatenate([same, [False]]) | np.concatenate([[False], same]) if len(b) else np.zeros(0, bool)
+        b, n, stands = now[:3]
+        if not len(b):
+            return now
+        keep = _near(b, now[3] if near is not None else None, near)
+        # others of a row that stands for several are not here to be compared
+        group = np.cumsum(np.concatenate([[0], b[1:] != b[:-1]]))
+        keep |= (np.bincount(group, stands == 2)[group] > 0) & (np.bincount(group)[group] > 1)
         if big is not None:
             keep |= b == big
-        now = [x[keep] for x in now]
-        if distance is not None and len(now[0]):
-            b, sim = now[0], now[2].view(np.uint64)
-            first = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
-            size = np.repeat(np.diff(np.append(first, len(b))), np.diff(np.append(first, len(b))))
-            near = size > SEARCHED if big is None else (size > SEARCHED) | (b == big)
-            for step in range(1, SEARCHED):
-                at = np.flatnonzero((b[step:] == b[:-step]) & (size[step:] <= SEARCHED))
-                if not len(at):
-                    break
-                at = at[near_enough(sim[at], sim[at + step])]
-                near[at] = near[at + step] = True
-            now = [x[near] for x in now]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in now[:n_out]], names=list(columns[:n_out]))
-
-    return rows.select(*columns).repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(run, ", ".join(f"{c} long" for c in columns[:n_out]))
-
-
-def bucket_components(live: DataFrame, verify: Callable[[DataFrame], DataFrame], facts: DataFrame, possible: Callable) -> DataFrame | None:
+        keep &= stands == 1
+        return [x[keep] for x in now]
+
+    def out(now):
+        return pa.RecordBatch.from_arrays([pa.array(x) for c, x in zip(columns, now) if c != "n"], names=out_columns)
+
+    place = F.when(F.col("n") == 0, F.xxhash64("node")).otherwise(F.col("bucket"))
+    by = rows.select(*columns).repartition(place).sortWithinPartitions("bucket", "node", "n")
+    return by.mapInArrow(run, ", ".join(f"{c} long" for c in out_columns))
+
+
+def bucket_components(live: DataFrame, verify: Callable[[DataFrame], DataFrame], facts: DataFrame, possible: Callable, likeness: Callable) -> DataFrame | None:
     """(node, component) of all linked nodes, or None if nothing is linked.
 
-    `live` is staged rows (bucket, node) without repeats, of buckets with two nodes or more.  `verify` turns pairs
-    (a, b) into (a, b, linked).  `facts` (node, fact) has a struct for each node; possible(fact, fact) is a native
-    condition without which two nodes can't be linked, so that most pairs of one bucket are never made.
+    `live` is staged rows (bucket, node) of buckets with two nodes or more.  `verify` turns pairs (a, b) into
+    (a, b, linked).  `facts` (node, fact) has a struct for each node; possible(fact, fact) is a native condition without
+    which two nodes can't be linked, so that most pairs of one bucket are never made, and likeness(fact, fact) a native
+    estimate of how similar two nodes are.
 
     Nodes in large buckets are popular: in a group of near copies, they are the ones most others resemble.  In each
-    round, the k / 8 most popular nodes of a bucket (one at least) lead, and a node outside the bucket's main component
-    meets the k most popular leaders of all its buckets that it has not met and is not connected with; k starts at 1 and
-    grows eightfold.
-    So a group soon hangs together, and only what is similar to none of the leaders meets more of them.  It ends when
-    no two nodes of a bucket are neither met nor connected, so that no link is lost.
+    round, the m most popular nodes of a bucket lead, and a node outside the bucket's main component meets, of the
+    leaders of all its buckets that it has not met and is not connected with, the k that it is most like.  Then components
+    are computed anew; k and m start at 1 and grow, k more slowly than m.  So a group soon hangs together, and only what
+    is similar to none of the leaders meets more of them.  It ends when no two nodes of a bucket are neither met nor
+    connected, so that no link is lost.
     """
     counts = live.groupBy("bucket").agg(F.count("*").alias("n"))
     weights = live.join(counts, "bucket").groupBy("node").agg(F.sum("n").alias("weight"))
     live = stage(live.join(weights.join(facts, "node"), "node"), "weighed")
     label = tried = None
-    k = 1
+    k = m = 1
     while True:
         if label is None:
             tagged = live.withColumn("component", F.col("node"))
@@ -114,35 +159,40 @@ def bucket_components(live: DataFrame, verify: Callable[[DataFrame], DataFrame],
         parts = tagged.groupBy("bucket", "component").agg(F.count("*").alias("n"))
         mixed = parts.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("main"), F.count("*").alias("parts"), F.sum("n").alias("n"))
         open_ = stage(tagged.join(mixed.where("parts > 1").select("bucket", "main.component", "n").withColumnRenamed("component", "main"), "bucket"), "open")
+        discard(live)
         most = open_.agg(F.max("n")).first()[0] or 0
         if not most:
             break
         live = open_.select("bucket", "node", "weight", "fact")
-        m = max(1, k // GROWTH)
+        live._staged_at = open_._staged_at
         if m == 1:
             best = F.max(F.struct("weight", "node", "component", "fact")).alias("best")
             leaders = open_.groupBy("bucket").agg(best).select("bucket", F.col("best.weight").alias("weight_x"), F.col("best.node").alias("x"), F.col("best.component").alias("of_x"), F.col("best.fact").alias("fact_x"))
         else:
+            # limited before the shuffle
             rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("weight"), F.desc("node")))
             leaders = open_.withColumn("rank", rank).where(F.col("rank") <= m)
             leaders = leaders.select("bucket", F.col("weight").alias("weight_x"), F.col("node").alias("x"), F.col("component").alias("of_x"), F.col("fact").alias("fact_x"))
         met = open_.where("component <> main").join(leaders, "bucket").where((F.col("component") != F.col("of_x")) & possible(F.col("fact"), F.col("fact_x")))
-        met = met.select("node", "weight", "x", "weight_x").distinct()
+        met = met.select("node", "weight", "x", "weight_x", likeness(F.col("fact"), F.col("fact_x")).alias("like")).distinct()
         ahead = F.struct("weight_x", "x") > F.struct("weight", "node")
         met = met.withColumn("a", F.when(ahead, F.col("x")).otherwise(F.col("node"))).withColumn("b", F.when(ahead, F.col("node")).otherwise(F.col("x")))
         if tried is not None:
             met = met.join(tried, ["a", "b"], "left_anti")
-        rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("weight_x"), F.desc("x")))
+        rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("like"), F.desc("weight_x"), F.desc("x")))
         pairs = stage(met.withColumn("rank", rank).where(F.col("rank") <= k).select("a", "b").distinct(), "pairs")
         if not pairs.limit(1).count():
+            discard(pairs)
             if m >= most:
                 break
-            k *= GROWTH
+            m *= LEADERS
             continue
         found = stage(verify(pairs), "links")
+        discard(pairs)
         tried = found.select("a", "b") if tried is None else tried.unionByName(found.select("a", "b"))
         new = found.where("linked").select("a", "b")
         if new.limit(1).count():
-            label = stage(relabel(label, new), "labels")
-        k *= GROWTH
+            before, label = label, stage(relabel(label, new), "labels")
+            discard(before)
+        k, m = k * MEETINGS, m * LEADERS
     return label

@@ -32,9 +32,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (in tests) an own temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode, if unset, a temporary one."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         place = tempfile.mkdtemp(prefix="capstride-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place
@@ -45,7 +48,18 @@ def stage(df: DataFrame, name: str = "stage", codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._staged_at = path
+    return back
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Remove the files of staged tables that nothing reads any more; other tables are left alone."""
+    for df in frames:
+        if df is not None and "_staged_at" in df.__dict__:
+            spark = df.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(df.__dict__["_staged_at"])
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:

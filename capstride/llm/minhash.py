@@ -2,17 +2,19 @@
 
 A document's set has a 64-bit hash for each distinct run of `shingle` words.  Each permutation of these hashes gives
 two values, its minimum and its maximum, so that half as many evaluations make a signature; bands of ROWS values become
-buckets.  Documents with equal sets form a class, and only its smallest doc_id is compared.  Members of a bucket are
-compared with its most popular ones, in rounds, until every two were compared or are connected (see buckets.py).  So no
-pair that shares a bucket is lost, and a group of near copies costs few comparisons a member.  Sizes, and one bit of each
-value, tell most pairs that can't be similar enough before they are made (a linked pair fails this test once in 2e7).  A link counts only when the
-full sets agree by `similar` percent; components of all links are the result.
+buckets.  Documents with equal sets form a class, which is one node.  Members of a bucket are compared with those of its
+most popular ones that their signatures say they are most like, in rounds, until every two were compared or are
+connected (see buckets.py).  So a group of near copies costs few comparisons a member.  Sizes, and four bits of each value,
+tell most pairs that can't be similar enough before they are made.  A link counts only when the full sets agree by
+`similar` percent; components of all links are the result.
 
-The chance that a pair of similarity 0.85 shares none of the 40 buckets of 6 values is 6e-9, and 6e-6 at 0.8.
+What hashing can lose: a pair of similarity 0.85 shares none of the 40 buckets of 6 values with probability 6e-9, and one
+of 0.8 with 6e-6; the bits of a linked pair tell against it with 3e-9 (see SLACK).
 
 Defined cases: texts without a word, and null texts, have an empty set and are linked with nothing; a text with fewer
-words than a shingle has one shingle; a null doc_id is in no component and is kept; rows with equal doc_ids are in one
-component; an empty table gives no rows; other columns are ignored.
+words than a shingle has one shingle; a null doc_id is in no component and is kept; rows with equal doc_ids and different
+texts are in one component, which holds what any of the texts is linked with; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,13 +26,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .buckets import beside, bucket_components, shared_buckets
+from .buckets import beside, bucket_components, company, shared_buckets
 from .common import arrow_schema, gram_hashes, mix, read, stage, text_bytes, text_slices, word_hashes, word_spans
+from .graph import relabel
 
 BANDS, ROWS = 40, 6
-WORDS = -(-BANDS * ROWS // 64)
-#: Standard deviations by which the bits of a linked pair may fall short of what its similarity lets expect.
-SLACK = 5.5
+#: Values whose lowest four bits one 64-bit word holds.
+PACK = 16
+WORDS = -(-BANDS * ROWS // PACK)
+#: Standard deviations by which the agreement of a linked pair's values may fall short of what its similarity lets expect:
+#: a binomial of 240 trials at 0.8125 or more falls that low with probability 3e-9 at most.
+SLACK = 6.3
 #: Members that one task compares with a copy of the leader's text.
 SALT_PAIRS = 256
 
@@ -64,13 +70,13 @@ def _multipliers(n: int) -> np.ndarray:
 
 
 def signatures(grams: np.ndarray, off: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket hashes (texts x bands) and a bit of each value (texts x words of 64).  No set is empty.
+    """Bucket hashes (texts x bands) and four bits of each value (texts x words of PACK).  No set is empty.
 
     A band has rows / 2 permutations, each with its minimum and maximum.
     """
     n = len(off) - 1
     out = np.zeros((n, bands), np.uint64)
-    bits = np.zeros((n, -(-bands * rows // 64)), np.uint64)
+    bits = np.zeros((n, -(-bands * rows // PACK)), np.uint64)
     multipliers = _multipliers(bands * rows // 2)
     # bounded steps of texts keep the values in the processor's cache
     low = 0
@@ -86,7 +92,7 @@ def signatures(grams: np.ndarray, off: np.ndarray, bands: int = BANDS, rows: int
                 for nth, extreme in ((2 * k, np.minimum), (2 * k + 1, np.maximum)):
                     v = mix(extreme.reduceat(y, at).astype(np.uint64) + np.uint64(nth))
                     h = mix(h + v)
-                    bits[low:high, nth >> 6] |= (v & np.uint64(1)) << np.uint64(nth & 63)
+                    bits[low:high, nth // PACK] |= (v & np.uint64(15)) << np.uint64(4 * (nth % PACK))
             out[low:high, band] = h
         low = high
     return out, bits
@@ -109,7 +115,7 @@ def sign(docs: DataFrame, shingle: int, fold: bool = True) -> DataFrame:
                 buckets, bits = signatures(grams, np.concatenate([at[some], at[-1:]])) if len(some) else (np.zeros((0, BANDS), np.uint64), np.zeros((0, WORDS), np.uint64))
                 classes: list = [None] * len(sizes)
                 for i in some.tolist():
-                    classes[i] = hashlib.blake2b(grams[at[i] : at[i + 1]].tobytes(), digest_size=16).digest()
+                    classes[i] = _class(grams[at[i] : at[i + 1]].tobytes())
                 upto = np.concatenate([[0], np.cumsum(sizes > 0)]).astype(np.int32)
                 lists = [pa.ListArray.from_arrays(pa.array(upto * np.int32(x.shape[1])), pa.array(x.reshape(-1).view(np.int64))) for x in (buckets, bits)]
                 yield pa.RecordBatch.from_arrays(
@@ -119,75 +125,127 @@ def sign(docs: DataFrame, shingle: int, fold: bool = True) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, _SIGNED)
 
 
-def verify(pairs: DataFrame, docs: DataFrame, shingle: int, fold: bool, similar: int) -> DataFrame:
-    """(a, b, linked) for pairs (a, b) of doc_ids, by the full sets of their texts in `docs`.
+_BUCKETS, _BUCKETS_ARROW = arrow_schema("bucket long, node long, n long")
+_SETS, _SETS_ARROW = arrow_schema("class binary, grams binary")
 
-    A leader a meets its members in tasks of about SALT_PAIRS pairs; only its text is copied.
+
+def bucket_rows(classes: DataFrame) -> DataFrame:
+    """Rows of company() for all buckets of rows (node, buckets)."""
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("buckets")
+            bucket = lists.flatten().to_numpy()
+            node = np.repeat(batch.column("node").to_numpy(), len(bucket) // max(1, batch.num_rows))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in company(bucket, node)], schema=_BUCKETS_ARROW)
+
+    return classes.select("node", "buckets").mapInArrow(run, _BUCKETS)
+
+
+def full_sets(docs: DataFrame, shingle: int, fold: bool) -> DataFrame:
+    """(class, grams): the ascending hashes of each set that is not empty."""
+
+    def run(batches):
+        for batch in batches:
+            for part in text_slices(batch):
+                raw, off = text_bytes(part.column("text"))
+                grams, at = shingle_sets(raw, off, shingle, fold)
+                own = [grams[at[i] : at[i + 1]].tobytes() for i in np.flatnonzero(np.diff(at)).tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array([_class(x) for x in own], pa.binary()), pa.array(own, pa.binary())], schema=_SETS_ARROW)
+
+    return docs.select("text").mapInArrow(run, _SETS)
+
+
+def _class(grams: bytes) -> bytes:
+    return hashlib.blake2b(grams, digest_size=16).digest()
+
+
+def verify(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
+    """(a, b, linked) for pairs (a, b) of nodes, by their full sets (node, grams).
+
+    A leader a meets its members in tasks of about SALT_PAIRS pairs; only its set is copied.
     """
     salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT_PAIRS).cast("int").alias("salts"))
     members = pairs.join(salts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
     leaders = salts.select("a", F.lit(None).cast("long").alias("b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    wanted = members.withColumn("id", F.col("b")).unionByName(leaders.withColumn("id", F.col("a")))
-    texts = docs.select(F.col("doc_id").alias("id"), "text")
-    rows = beside(texts, wanted, "id").select("a", "salt", "b", "text")
+    wanted = members.withColumn("node", F.col("b")).unionByName(leaders.withColumn("node", F.col("a")))
+    rows = beside(sets, wanted, "node").select("a", "salt", "b", "grams")
 
     def run(batches):
         leader, own = None, None
         for batch in batches:
-            for part in text_slices(batch):
-                raw, off = text_bytes(part.column("text"))
-                grams, at = shingle_sets(raw, off, shingle, fold)
-                found = []
-                for i, (a, b) in enumerate(zip(part.column("a").to_pylist(), part.column("b").to_pylist())):
-                    this = grams[at[i] : at[i + 1]]
-                    if b is None:
-                        leader, own = a, this
-                        continue
-                    if a != leader:
-                        raise RuntimeError(f"no text of document {a}")
-                    both = int(np.isin(this, own, assume_unique=True).sum())
-                    found.append((a, b, 100 * both >= similar * (len(this) + len(own) - both)))
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found)], schema=_LINKS_ARROW)
+            found = []
+            for a, b, grams in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "grams"))):
+                this = np.frombuffer(grams, np.uint64)
+                if b is None:
+                    leader, own = a, this
+                    continue
+                if a != leader:
+                    raise RuntimeError(f"no set of node {a}")
+                both = int(np.isin(this, own, assume_unique=True).sum())
+                found.append((a, b, 100 * both >= similar * (len(this) + len(own) - both)))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found)], schema=_LINKS_ARROW)
 
     by = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
     return by.mapInArrow(run, _LINKS)
 
 
+def agreement(x, y):
+    """How many values of two nodes agree in their four bits."""
+    total = F.lit(BANDS * ROWS)
+    for i in range(WORDS):
+        apart = F.get(x["bits"], F.lit(i)).bitwiseXOR(F.get(y["bits"], F.lit(i)))
+        pairs = apart.bitwiseOR(F.shiftrightunsigned(apart, 2))
+        each = pairs.bitwiseOR(F.shiftrightunsigned(pairs, 1)).bitwiseAND(F.lit(0x1111111111111111))
+        total = total - F.bit_count(each)
+    return total
+
+
 def possible(x, y, similar: int):
-    """Sizes that allow the similarity, and bits that agree as often as it lets expect, but for SLACK deviations."""
-    share = (1 + similar / 100) / 2
+    """Sizes that allow the similarity, and values that agree as often as it lets expect, but for SLACK deviations."""
+    share = similar / 100 + (1 - similar / 100) / 16
     total = BANDS * ROWS
     least = int(total * share - SLACK * (total * share * (1 - share)) ** 0.5)
-    apart = sum((F.bit_count(F.get(x["bits"], F.lit(i)).bitwiseXOR(F.get(y["bits"], F.lit(i)))) for i in range(1, WORDS)), F.bit_count(F.get(x["bits"], F.lit(0)).bitwiseXOR(F.get(y["bits"], F.lit(0)))))
-    return (100 * F.least(x["n"], y["n"]) >= similar * F.greatest(x["n"], y["n"])) & (apart <= total - least)
+    return (100 * F.least(x["n"], y["n"]) >= similar * F.greatest(x["n"], y["n"])) & (agreement(x, y) >= least)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similar: int = 80, fold: bool = True) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of documents."""
     signed = stage(sign(docs, shingle, fold), "signed")
-    classes = stage(
-        signed.where("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.min("buckets").alias("buckets"), F.min("bits").alias("bits"), F.min("n_shingles").alias("n")), "classes"
-    )
-    # ids may repeat with different texts: then an id is in several classes, and these are one component
-    twice = classes.groupBy("rep").count().where("count > 1").select("rep")
-    live = stage(shared_buckets(classes.select(F.col("rep").alias("node"), F.explode("buckets").alias("bucket"))), "buckets")
-    # texts that have company in a bucket are laid aside once for all rounds
-    texts = beside(docs.select("doc_id", "text"), live.select(F.col("node").alias("doc_id")).distinct(), "doc_id")
-    if twice.limit(1).count():
-        texts = texts.dropDuplicates(["doc_id"])
-    texts = stage(texts, "texts")
-    facts = classes.groupBy("rep").agg(F.min(F.struct("n", "bits")).alias("fact")).withColumnRenamed("rep", "node")
-    label = bucket_components(live, lambda pairs: verify(pairs, texts, shingle, fold, similar), facts, lambda x, y: possible(x, y, similar))
+    some = signed.where("class is not null and doc_id is not null")
+    classes = some.groupBy("class").agg(F.min("doc_id").alias("rep"), F.min("buckets").alias("buckets"), F.min("bits").alias("bits"), F.min("n_shingles").alias("n"))
+    classes = stage(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    live = stage(shared_buckets(bucket_rows(classes)), "buckets")
+    # full sets of what has company in a bucket are laid aside once for all rounds
+    company_of = classes.join(live.select("node").distinct(), "node").select("class", "node", F.col("rep").alias("doc_id"))
+    company_of = stage(company_of, "company")
+    wanted = docs.select("doc_id", "text").join(company_of.select("doc_id").distinct(), "doc_id", "left_semi")
+    sets = stage(full_sets(wanted, shingle, fold).join(company_of.select("class", "node"), "class").select("node", "grams"), "sets")
+    facts = classes.select("node", F.struct("n", "bits").alias("fact"))
+    label = bucket_components(live, lambda pairs: verify(pairs, sets, similar), facts, lambda x, y: possible(x, y, similar), agreement)
+    label = _same_ids(some, classes, label)
+    of = signed.select("doc_id", "n_shingles", "class").join(classes.select("class", "rep", "node"), "class", "left")
     if label is None:
-        label = classes.select(F.col("rep").alias("node"), F.col("rep").alias("component")).limit(0)
-    of = signed.select("doc_id", "n_shingles", "class").join(classes.select("class", "rep"), "class", "left")
-    out = of.join(label, of.rep == label.node, "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id")
-    )
+        out = of.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("component_id"))
+    else:
+        least = classes.join(label, "node").groupBy("component").agg(F.min("rep").alias("least"))
+        out = of.join(label, "node", "left").join(least, "component", "left").select("doc_id", "n_shingles", F.coalesce("least", "rep", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _same_ids(signed: DataFrame, classes: DataFrame, label: DataFrame | None) -> DataFrame | None:
+    """Link the classes of rows with equal doc_ids."""
+    several = signed.groupBy("doc_id").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least <> most")
+    several = stage(several.select("doc_id", "least"), "several")
+    if not several.limit(1).count():
+        return label
+    pairs = signed.select("doc_id", "class").join(several, "doc_id").where("class <> least").select("class", "least")
+    node = classes.select("class", "node")
+    links = pairs.join(node, "class").select("least", F.col("node").alias("a")).join(node.withColumnRenamed("class", "least"), "least")
+    return stage(relabel(label, links.select("a", F.col("node").alias("b")).distinct()), "labels")
+
+
 def op4_near_dedup(spark, sf_dir: str) -> DataFrame:
     """Components of documents that agree in 85 % of their 3-word shingles."""
     return near_duplicates(read(spark, sf_dir, "documents"), shingle=3, similar=85)

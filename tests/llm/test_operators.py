@@ -168,20 +168,29 @@ def components_of(nodes, links):
 @given(st.lists(st.tuples(st.integers(0, 25), st.integers(0, 25)), min_size=1, max_size=40))
 def test_components(spark, links):
     want = components_of({x for e in links for x in e}, links)
-    for local in (0, 1000):
-        got = {r.node: r.component for r in graph.components(spark.createDataFrame(links, "a long, b long"), local=local).collect()}
+    for chunk in (1, 3, 1000):
+        got = {r.node: r.component for r in graph.components(spark.createDataFrame(links, "a long, b long").repartition(3), chunk=chunk).collect()}
         assert got == {n: c for n, c in want.items() if any(n in e and e[0] != e[1] for e in links)}
 
 
-def test_shared_buckets(spark, monkeypatch):
+def test_shared_buckets(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    near = lambda x, y: np.bitwise_count((x ^ y).view(np.uint64)) <= 3
     try:
         rows = [(1, n, 0) for n in range(700)] + [(2, 5, 0), (2, 6, 7), (3, 1, 0), (3, 2, 255), (4, 9, 1)] + [(5, n, (1 << n % 60) - 1) for n in range(100)]
-        df = spark.createDataFrame(rows * 2, "bucket long, node long, sim long")
-        both = {(r.bucket, r.node) for r in buckets.shared_buckets(df).collect()}
-        assert both == {(b, n) for b, n, _ in rows if b != 4}
-        near = [(r.bucket, r.node) for r in buckets.shared_buckets(df, 3).collect()]
-        assert set(near) >= both - {(3, 1), (3, 2)} and (3, 1) not in near
+        rows = [rows[i] for i in np.random.default_rng(4).permutation(len(rows))]
+        for size in (1, 30, 400):  # rows of a step
+            for chosen in (None, near):
+                steps = [np.array(rows[i : i + size], np.int64).T for i in range(0, len(rows), size)] * 2
+                sent = np.concatenate([np.stack(buckets.company(*(x[:2] if chosen is None else x), near=chosen)) for x in steps], 1).T.tolist()
+                df = spark.createDataFrame(sent, "bucket long, node long, n long" if chosen is None else "bucket long, node long, sim long, n long")
+                got = {(r.bucket, r.node) for r in buckets.shared_buckets(df, chosen).collect()}
+                both = {(b, n) for b, n, _ in rows if b != 4}
+                if chosen is None:
+                    assert got == both
+                else:
+                    assert both - {(3, 1), (3, 2)} >= got >= both - {(3, 1), (3, 2)} - {(5, n) for n in range(100)}
+                    assert got >= {(5, n) for n in range(100)} or size > 1
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
@@ -193,8 +202,9 @@ def test_bucket_components(spark):
     linked = lambda pairs: pairs.withColumn("linked", (pairs.a * 7 + pairs.b * 7) % 11 < 2)
     facts = spark.createDataFrame([(n, (n,)) for n in {n for _, n in rows}], "node long, fact struct<n: long>")
     even = lambda x, y: (x["n"] * 7 + y["n"] * 7) % 11 < 5
-    live = common.stage(buckets.shared_buckets(spark.createDataFrame(rows * 2, "bucket long, node long")))
-    label = buckets.bucket_components(live, linked, facts, even)
+    sent = np.stack(buckets.company(*np.array(rows, np.int64).T)).T.tolist()
+    live = common.stage(buckets.shared_buckets(spark.createDataFrame(sent, "bucket long, node long, n long")))
+    label = buckets.bucket_components(live, linked, facts, even, lambda x, y: x["n"] - y["n"])
     got = {r.node: r.component for r in label.collect()}
     links = [(a, b) for x, a in rows for y, b in rows if x == y and a < b and good(a, b)]
     want = components_of({n for _, n in rows}, links)
@@ -218,6 +228,25 @@ def test_op4(docs, rows, awkward, nothing, k, similar):
     assert not minhash.near_duplicates(nothing, k, similar).count()
 
 
+def test_op4_repeated_ids(spark):
+    """An id with two texts is linked with what either is like."""
+    words = lambda seed: [f"w{x}" for x in np.random.default_rng(seed).integers(0, 500, 120)]
+    one, two = words(1), words(2)
+    texts = [(1, " ".join(one)), (1, " ".join(two)), (2, " ".join([*one[:-1], "x"])), (3, " ".join([*two[:-1], "y"])), (4, " ".join(words(3))), (4, None), (5, None)]
+    got = [(r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), 3, 85).collect()]
+    assert sorted(got) == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True), (4, 4, True), (5, 5, True)]
+
+
+def test_op4_filter():
+    """How seldom the values of a linked pair tell against it: an exact binomial tail."""
+    from math import comb
+
+    for similar in (80, 85):
+        share, n = similar / 100 + (1 - similar / 100) / 16, minhash.BANDS * minhash.ROWS
+        least = int(n * share - minhash.SLACK * (n * share * (1 - share)) ** 0.5)
+        assert sum(comb(n, i) * share**i * (1 - share) ** (n - i) for i in range(least)) < 3e-9
+
+
 def test_op5(spark, docs, rows, awkward, nothing):
     got = by_id(mixing.op5_mixing(spark, SF))
     again = by_id(mixing.op5_mixing(spark, SF))
@@ -393,6 +422,31 @@ def test_op8_edits_alone(spark, rows):
         assert got[d].text == "\n".join(kept), d
 
 
+@pytest.mark.parametrize("low, high, share", [(10, 40, 0.97), (40, 100, 0.95), (100, 200, 0.9), (200, 1300, 0.9)])
+def test_op8_recall(low, high, share):
+    """How many pairs at the limit of edits, at random places, have a key in common and pass the sketches."""
+    import duckdb
+
+    texts = duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet'").fetchall()
+    rng = np.random.default_rng(low)
+    own = sorted({f for (t,) in texts for x in (t or "").split("\n") if low <= len(f := lines.normal_form(x)) < high})
+    own = [own[i] for i in rng.permutation(len(own))[:600]]
+    changed = []
+    for f in own:
+        f = list(f)
+        for _ in range(len(f) // 10):
+            i, c = int(rng.integers(len(f))), chr(97 + int(rng.integers(26)))
+            f[i : i + 1] = [[c], [c, f[i]], []][int(rng.integers(3))]
+        changed.append("".join(f))
+    keys = [collections.defaultdict(set), collections.defaultdict(set)]
+    for side, forms in zip(keys, (own, changed)):
+        for i, k in zip(*lines.band_rows(forms, 10)):
+            side[int(i)].add(int(k))
+    allowed = lines.may_link(lines.sketches(own), lines.sketches(changed), 10)
+    met = [bool(keys[0][i] & keys[1][i]) and bool(allowed[i]) or own[i] == changed[i] for i in range(len(own))]
+    assert sum(met) >= share * len(met), sum(met) / len(met)
+
+
 def test_op9(spark, rows, awkward, nothing):
     from tokenizers import Tokenizer
 
