@@ -18,6 +18,8 @@ from .graph import relabel
 BROADCAST_ROWS = 250_000
 #: Growth of a round's meetings of a node, and of the leaders of a bucket.
 MEETINGS, LEADERS = 4, 8
+#: Rounds before rest().
+ROUNDS = 2
 #: Buckets of at most so many nodes are searched for company that is near enough; in larger ones all nodes stay.
 SEARCHED = 64
 
@@ -130,13 +132,17 @@ def shared_buckets(rows: DataFrame, near: Callable | None = None) -> DataFrame:
     return by.mapInArrow(run, ", ".join(f"{c} long" for c in out_columns))
 
 
-def bucket_components(live: DataFrame, verify: Callable[[DataFrame], DataFrame], facts: DataFrame, possible: Callable, likeness: Callable) -> DataFrame | None:
+def bucket_components(live: DataFrame, verify: Callable[[DataFrame], DataFrame], facts: DataFrame, possible: Callable, likeness: Callable, refine: Callable | None = None, rest: Callable | None = None) -> DataFrame | None:
     """(node, component) of all linked nodes, or None if nothing is linked.
 
     `live` is staged rows (bucket, node) of buckets with two nodes or more.  `verify` turns pairs (a, b) into
     (a, b, linked).  `facts` (node, fact) has a struct for each node; possible(fact, fact) is a native condition without
     which two nodes can't be linked, so that most pairs of one bucket are never made, and likeness(fact, fact) a native
-    estimate of how similar two nodes are.
+    estimate of how similar two nodes are.  refine(nodes), if given, has better facts (node, fact) about those nodes that
+    one round has left in buckets of several components; nodes that it leaves out can't be linked with any other of them.
+    rest(open), if given, finds links (a, b) that connect what is left after ROUNDS rounds, in place of further rounds:
+    between every two nodes of a bucket of `open` (bucket, node, component, main, n, others, fact) that are linked, have
+    different components and are not both of the component `main`, n being the bucket's nodes, `others` those not of `main`.
 
     Nodes in large buckets are popular: in a group of near copies, they are the ones most others resemble.  In each
     round, the m most popular nodes of a bucket lead, and a node outside the bucket's main component meets, of the
@@ -150,6 +156,7 @@ def bucket_components(live: DataFrame, verify: Callable[[DataFrame], DataFrame],
     live = stage(live.join(weights.join(facts, "node"), "node"), "weighed")
     label = tried = None
     k = m = 1
+    rounds = 0
     while True:
         if label is None:
             tagged = live.withColumn("component", F.col("node"))
@@ -158,13 +165,23 @@ def bucket_components(live: DataFrame, verify: Callable[[DataFrame], DataFrame],
             tagged = live.join(known, live.node == known.known, "left").select("bucket", "node", "weight", "fact", F.coalesce("component", "node").alias("component"))
         parts = tagged.groupBy("bucket", "component").agg(F.count("*").alias("n"))
         mixed = parts.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("main"), F.count("*").alias("parts"), F.sum("n").alias("n"))
-        open_ = stage(tagged.join(mixed.where("parts > 1").select("bucket", "main.component", "n").withColumnRenamed("component", "main"), "bucket"), "open")
+        open_ = stage(tagged.join(mixed.where("parts > 1").select("bucket", F.col("main.component").alias("main"), "n", (F.col("n") - F.col("main.n")).alias("others")), "bucket"), "open")
         discard(live)
         most = open_.agg(F.max("n")).first()[0] or 0
         if not most:
             break
         live = open_.select("bucket", "node", "weight", "fact")
         live._staged_at = open_._staged_at
+        if refine is not None and k > 1:
+            better, refine = refine(live.select("node").distinct()), None
+            live = stage(live.drop("fact").join(better, "node").select("bucket", "node", "weight", "fact"), "refined")
+            discard(open_)
+            continue
+        if rest is not None and rounds == ROUNDS:
+            links = stage(rest(open_), "links")
+            discard(open_)
+            return stage(relabel(label, links), "labels") if links.limit(1).count() else label
+        rounds += 1
         if m == 1:
             best = F.max(F.struct("weight", "node", "component", "fact")).alias("best")
             leaders = open_.groupBy("bucket").agg(best).select("bucket", F.col("best.weight").alias("weight_x"), F.col("best.node").alias("x"), F.col("best.component").alias("of_x"), F.col("best.fact").alias("fact_x"))

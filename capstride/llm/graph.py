@@ -73,7 +73,8 @@ def components(edges: DataFrame, rounds: int = 60, chunk: int = CHUNK_EDGES) ->
     each step.  Loops and repeated edges do no harm; an empty table gives none.
     """
     edges = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    edges = stage(contracted(edges, chunk).distinct(), "edges")
+    # once where they are, once with those that share a root; small tables end up in one task, which solves them
+    edges = stage(contracted(contracted(edges, chunk).repartition("b"), chunk).distinct(), "edges")
     for _ in range(rounds):
         if _settled(edges):
             break

@@ -2,11 +2,13 @@
 
 A document's set has a 64-bit hash for each distinct run of `shingle` words.  Each permutation of these hashes gives
 two values, its minimum and its maximum, so that half as many evaluations make a signature; bands of ROWS values become
-buckets.  Documents with equal sets form a class, which is one node.  Members of a bucket are compared with those of its
-most popular ones that their signatures say they are most like, in rounds, until every two were compared or are
-connected (see buckets.py).  So a group of near copies costs few comparisons a member.  Sizes, and four bits of each value,
-tell most pairs that can't be similar enough before they are made.  A link counts only when the full sets agree by
-`similar` percent; components of all links are the result.
+buckets.  Documents with equal sets form a class, which is one node.  Members of a bucket first meet those of its most popular ones
+that their signatures say they are most like, so that a group of near copies soon hangs together.  Then the shingles that
+only one of the remaining sets has are counted: what two sets can share at most rules out most pairs, exactly, as edits
+of a copy are mostly its own.  Last, members of a bucket that are still of different components are compared in blocks of
+their full sets, each two in the first bucket that they share (see buckets.py for the rounds).  Sizes, and four bits of
+each value, tell most pairs that can't be similar enough.  A link counts only when the full sets agree by `similar`
+percent; components of all links are the result.
 
 What hashing can lose: a pair of similarity 0.85 shares none of the 40 buckets of 6 values with probability 6e-9, and one
 of 0.8 with 6e-6; the bits of a linked pair tell against it with 3e-9 (see SLACK).
@@ -23,12 +25,13 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import beside, bucket_components, company, shared_buckets
 from .common import arrow_schema, gram_hashes, mix, read, stage, text_bytes, text_slices, word_hashes, word_spans
-from .graph import relabel
+from .graph import forest, relabel
 
 BANDS, ROWS = 40, 6
 #: Values whose lowest four bits one 64-bit word holds.
@@ -39,6 +42,8 @@ WORDS = -(-BANDS * ROWS // PACK)
 SLACK = 6.3
 #: Members that one task compares with a copy of the leader's text.
 SALT_PAIRS = 256
+#: Asking nodes, and asked ones, of a block.
+BLOCK = 512
 
 
 def shingle_sets(raw: np.ndarray, off: np.ndarray, shingle: int, fold: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -126,6 +131,7 @@ def sign(docs: DataFrame, shingle: int, fold: bool = True) -> DataFrame:
 
 
 _BUCKETS, _BUCKETS_ARROW = arrow_schema("bucket long, node long, n long")
+_OWN, _OWN_ARROW = arrow_schema("gram long, node long, n long")
 _SETS, _SETS_ARROW = arrow_schema("class binary, grams binary")
 
 
@@ -169,7 +175,7 @@ def verify(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
     members = pairs.join(salts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
     leaders = salts.select("a", F.lit(None).cast("long").alias("b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     wanted = members.withColumn("node", F.col("b")).unionByName(leaders.withColumn("node", F.col("a")))
-    rows = beside(sets, wanted, "node").select("a", "salt", "b", "grams")
+    rows = beside(sets.select("node", "grams"), wanted, "node").select("a", "salt", "b", "grams")
 
     def run(batches):
         leader, own = None, None
@@ -191,6 +197,109 @@ def verify(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
     return by.mapInArrow(run, _LINKS)
 
 
+_FOUND, _FOUND_ARROW = arrow_schema("a long, b long")
+
+
+class Block:
+    """Rows of one bucket's block: those that ask meet the others, by their full sets."""
+
+    def __init__(self, bucket: int, similar: int):
+        self.bucket, self.similar = bucket, similar
+        self.parts: list[tuple] = []
+
+    def add(self, batch: pa.RecordBatch, low: int, high: int) -> None:
+        part = batch.slice(low, high - low)
+        flat = [part.column(c).flatten().to_numpy().view(np.uint64).reshape(high - low, -1) for c in ("bits", "buckets")]
+        self.parts.append((*[part.column(c).to_numpy(zero_copy_only=False) for c in ("node", "component", "shingles", "own", "asks", "other")], *flat, part.column("grams").to_pylist()))
+
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        """Edges that connect what is linked."""
+        node, component, n, own, asks, other, bits, buckets = (np.concatenate(x) for x in list(zip(*self.parts))[:8])
+        grams = [np.frombuffer(g, np.uint64) for part in self.parts for g in part[8]]
+        q, m = np.flatnonzero(asks), np.flatnonzero(~asks)
+        agree = np.full((len(q), len(m)), bits.shape[1] * PACK, np.int32)
+        for i in range(bits.shape[1]):
+            apart = bits[q, i][:, None] ^ bits[m, i][None, :]
+            apart |= apart >> np.uint64(2)
+            apart |= apart >> np.uint64(1)
+            agree -= np.bitwise_count(apart & np.uint64(0x1111111111111111))
+        most = np.minimum((n - own)[q][:, None], (n - own)[m][None, :])
+        both = n[q][:, None] + n[m][None, :]
+        may = (agree >= least_agreement(self.similar)) & ((100 + self.similar) * most >= self.similar * both)
+        may &= component[q][:, None] != component[m][None, :]
+        # two that both ask meet once
+        may &= ~other[m][None, :] | (node[q][:, None] < node[m][None, :])
+        x, y = np.nonzero(may)
+        x, y = q[x], m[y]
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for low in range(0, len(x), 1 << 16):
+            i, j = x[low : low + (1 << 16)], y[low : low + (1 << 16)]
+            first = (buckets[i] == buckets[j]).argmax(1)
+            here = buckets[i, first] == np.uint64(self.bucket & 0xFFFFFFFFFFFFFFFF)
+            found.append((i[here], j[here]))
+        x, y = (np.concatenate(z) for z in zip(*found)) if found else (x, y)
+        a, b = [], []
+        for i in np.unique(x).tolist():
+            others = y[x == i]
+            sizes = np.array([len(grams[j]) for j in others])
+            same = np.add.reduceat(np.isin(np.concatenate([grams[j] for j in others]), grams[i]), np.cumsum(sizes) - sizes)
+            hit = others[100 * same >= self.similar * (sizes + len(grams[i]) - same)]
+            a += [node[i]] * len(hit)
+            b += node[hit].tolist()
+        return forest(np.array(a, np.int64), np.array(b, np.int64))
+
+
+def block_links(open_: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
+    """The links that bucket_components() wants of rest(): blocks of at most some BLOCK asking and BLOCK other nodes.
+
+    Rows of a bucket with n nodes of which f ask are copied f / BLOCK times, and the asking ones n / BLOCK times.
+    """
+    rows = open_.select("bucket", "node", "component", F.col("fact.n").alias("shingles"), F.col("fact.own").alias("own"), (F.col("component") != F.col("main")).alias("other"), F.ceil(F.col("n") / BLOCK).alias("of"), F.ceil(F.col("others") / BLOCK).alias("by")).join(sets, "node")
+    place = lambda salt, n: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("long")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    asking = rows.where("other").select("*", F.lit(True).alias("asks"), place(1, "by").alias("i"), every("of").alias("j"))
+    asked = rows.select("*", F.lit(False).alias("asks"), every("by").alias("i"), place(2, "of").alias("j"))
+
+    def run(batches):
+        block, last = None, None
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in ("bucket", "i", "j")], 1)
+            edges = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, [len(keys)]]).tolist()
+            for low, high in zip(edges, edges[1:]):
+                key = tuple(keys[low].tolist()) if high > low else last
+                if key != last:
+                    if block:
+                        yield out(block)
+                    block, last = Block(key[0], similar), key
+                if high > low:
+                    block.add(batch, low, high)
+        if block:
+            yield out(block)
+
+    def out(block: Block) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in block.links()], schema=_FOUND_ARROW)
+
+    return asking.unionByName(asked).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(run, _FOUND)
+
+
+def own_shingles(sets: DataFrame) -> DataFrame:
+    """(node, own): how many shingles of each set (node, grams) no other of them has; nodes without one are left out.
+
+    Each step sends a shingle once, with the number of sets that have it.
+    """
+
+    def run(batches):
+        for batch in batches:
+            sizes = np.asarray(pc.binary_length(batch.column("grams"))) // 8
+            grams = np.frombuffer(b"".join(batch.column("grams").to_pylist()), np.int64)
+            some, first, n = np.unique(grams, return_index=True, return_counts=True)
+            node = np.repeat(batch.column("node").to_numpy(), sizes)[first]
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(node), pa.array(n)], schema=_OWN_ARROW)
+
+    counts = sets.select("node", "grams").mapInArrow(run, _OWN).groupBy("gram").agg(F.sum("n").alias("n"), F.min("node").alias("node"))
+    return counts.where("n = 1").groupBy("node").agg(F.count("*").alias("own"))
+
+
 def agreement(x, y):
     """How many values of two nodes agree in their four bits."""
     total = F.lit(BANDS * ROWS)
@@ -202,12 +311,17 @@ def agreement(x, y):
     return total
 
 
+def least_agreement(similar: int) -> int:
+    """How many values of a linked pair agree at least, but for SLACK deviations."""
+    share, total = similar / 100 + (1 - similar / 100) / 16, BANDS * ROWS
+    return int(total * share - SLACK * (total * share * (1 - share)) ** 0.5)
+
+
 def possible(x, y, similar: int):
-    """Sizes that allow the similarity, and values that agree as often as it lets expect, but for SLACK deviations."""
-    share = similar / 100 + (1 - similar / 100) / 16
-    total = BANDS * ROWS
-    least = int(total * share - SLACK * (total * share * (1 - share)) ** 0.5)
-    return (100 * F.least(x["n"], y["n"]) >= similar * F.greatest(x["n"], y["n"])) & (agreement(x, y) >= least)
+    """Sizes, less the shingles that no other set has, that allow the similarity, and values that agree as often as it lets
+    expect, but for SLACK deviations."""
+    most = F.least(x["n"] - x["own"], y["n"] - y["own"])
+    return ((100 + similar) * most >= similar * (x["n"] + y["n"])) & (agreement(x, y) >= least_agreement(similar))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similar: int = 80, fold: bool = True) -> DataFrame:
@@ -218,12 +332,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similar: int = 80, fold:
     classes = stage(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     live = stage(shared_buckets(bucket_rows(classes)), "buckets")
     # full sets of what has company in a bucket are laid aside once for all rounds
-    company_of = classes.join(live.select("node").distinct(), "node").select("class", "node", F.col("rep").alias("doc_id"))
+    company_of = classes.join(live.select("node").distinct(), "node").select("class", "node", "bits", "buckets", F.col("rep").alias("doc_id"))
     company_of = stage(company_of, "company")
     wanted = docs.select("doc_id", "text").join(company_of.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = stage(full_sets(wanted, shingle, fold).join(company_of.select("class", "node"), "class").select("node", "grams"), "sets")
-    facts = classes.select("node", F.struct("n", "bits").alias("fact"))
-    label = bucket_components(live, lambda pairs: verify(pairs, sets, similar), facts, lambda x, y: possible(x, y, similar), agreement)
+    sets = full_sets(wanted, shingle, fold).join(company_of.select("class", "node", "bits", "buckets"), "class")
+    sets = stage(sets.select("node", "bits", "buckets", "grams"), "sets")
+
+    def facts(own: DataFrame | None = None) -> DataFrame:
+        known = classes.withColumn("own", F.lit(0).cast("long")) if own is None else classes.join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+        # a set and any other share n - own shingles at most, of at least n
+        return known.where(100 * (F.col("n") - F.col("own")) >= similar * F.col("n")).select("node", F.struct("n", "own", "bits").alias("fact"))
+
+    def refine(nodes: DataFrame) -> DataFrame:
+        return facts(own_shingles(sets.join(nodes, "node", "left_semi"))).join(nodes, "node", "left_semi")
+
+    label = bucket_components(live, lambda pairs: verify(pairs, sets, similar), facts(), lambda x, y: possible(x, y, similar), agreement, refine, lambda open_: block_links(open_, sets, similar))
     label = _same_ids(some, classes, label)
     of = signed.select("doc_id", "n_shingles", "class").join(classes.select("class", "rep", "node"), "class", "left")
     if label is None:

@@ -243,8 +243,26 @@ def test_op4_filter():
 
     for similar in (80, 85):
         share, n = similar / 100 + (1 - similar / 100) / 16, minhash.BANDS * minhash.ROWS
-        least = int(n * share - minhash.SLACK * (n * share * (1 - share)) ** 0.5)
-        assert sum(comb(n, i) * share**i * (1 - share) ** (n - i) for i in range(least)) < 3e-9
+        assert sum(comb(n, i) * share**i * (1 - share) ** (n - i) for i in range(minhash.least_agreement(similar))) < 3e-9
+
+
+def test_op4_blocks(spark, monkeypatch):
+    """A large group of which most members are similar to few others, in small blocks."""
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    rng = np.random.default_rng(8)
+    base = [f"b{x}" for x in rng.integers(0, 900, 100)]
+    texts = []
+    for d in range(160):
+        words = list(base) if d % 4 else texts[-1][1].split() if texts else list(base)
+        for i in rng.integers(0, len(words), int(rng.integers(1, 7))):
+            words[i] = f"c{rng.integers(40)}"
+        texts.append((d, " ".join(words)))
+    got = by_id(minhash.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), 3, 80))
+    sets = {d: shingles(t, 3) for d, t in texts}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    want = components_of(sets, links)
+    assert 10 < len(set(want.values())) < 140
+    assert {d: r.component_id for d, r in got.items()} == want
 
 
 def test_op5(spark, docs, rows, awkward, nothing):
