@@ -7,11 +7,11 @@ from .counts import op7_token_counts
 from .huffman import op3_token_file
 from .langid import op10_language_id
 from .lines import op8_line_dedup
-from .minhash import op4_near_dedup
+from .minhash import OP4_SQL, op4_near_dedup
 from .mixing import op5_mixing
 from .packing import op9_packing
 from .quality import op6_quality
-from .substrings import op1_substring_dedup
+from .substrings import OP1_SQL, op1_substring_dedup
 
 
 def queries() -> dict:
@@ -19,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": op1_substring_dedup, "op2_top_k": OP2_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op2_top_k": OP2_SQL, "op4_near_dedup": OP4_SQL}

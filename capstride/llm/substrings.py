@@ -7,11 +7,13 @@ that such a window covers in a later document goes.
     anchors, and neighbouring windows mostly share theirs, so that a fifth of the words is an anchor.  An anchor that
     only one document has can't be part of a repeated window; counting pre-aggregates before the shuffle.
 2.  Passages: around each shared anchor, a document's run of windows with that anchor is a passage of at most
-    2 * WINDOW - ANCHOR words.  Passages go to a shard by their anchor.  The passages of an anchor that more than
-    HOT_DOCS documents have are reduced to distinct texts with their first documents, which every salt of it gets.
-3.  Automata: a shard confirms the windows that two documents have, compiles their runs with the same first document
-    into Aho-Corasick automata over about AUTOMATON_CHARS of passages, and streams all passages through them to find
-    every occurrence.
+    2 * WINDOW - ANCHOR words.  All documents stream to the shards in this form: what is not in a passage can't recur.
+    A passage goes to a shard by its anchor.  An anchor that more than HOT_DOCS documents have is split further: its
+    passages are cut into single windows, dealt by the whole window.  A window that more than HOT_DOCS documents have is
+    salted; all salts get its text once, with its first and last documents.
+3.  Automata: a shard confirms by hash which windows several documents have, takes their texts from the first document
+    alone, compiles these into Aho-Corasick automata over about AUTOMATON_CHARS of passages, and streams all passages
+    through them; only what the automaton finds, word by word, is an occurrence.
 4.  The covered words of a document are cut.
 
 Matches are of texts, not of hashes: an anchor's hash only tells where to look.
@@ -32,13 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import beside
-from .common import arrow_schema, gram_hashes, read, stage, text_bytes, text_slices, word_hashes, word_spans
+from .common import arrow_schema, gram_hashes, mix, read, stage, text_bytes, text_slices, word_hashes, word_spans
 
 WINDOW, ANCHOR = 13, 4
 #: Documents above which an anchor is dealt to several tasks.
 HOT_DOCS = 5_000
-#: Characters of the passages of one automaton.
-AUTOMATON_CHARS = 4_000_000
+#: Characters of the passages of one automaton, which has 100 bytes a character at most.
+AUTOMATON_CHARS = 1_000_000
 
 
 def anchors(hashes: np.ndarray, words: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR):
@@ -203,103 +205,100 @@ def passages(rows: DataFrame) -> DataFrame:
 
 
 class Shard:
-    """Passages and first documents of some anchors, resolved by one automaton.
+    """Passages and their documents, resolved by one automaton.
 
     The automaton's letters are digits of word numbers, of another range for each digit, so that matches start and end
     at words and a node has few children.
     """
 
     def __init__(self):
-        self.groups: list[dict[str, list]] = []  # of each anchor: passage: [smallest doc_id, largest, occurrences]
+        self.passages: list[str] = []
+        self.low: list[int] = []  # smallest and largest doc_id that a row stands for
+        self.high: list[int] = []
+        self.found: list[tuple[int, int, int] | None] = []  # doc_id, copy, start; none for a row that only tells
         self.size = 0
 
-    def open(self) -> None:
-        """Begin the passages of another anchor."""
-        self.groups.append({})
-
-    def add(self, passage: str, doc_id: int, last_id: int, occurrence=None) -> None:
-        entry = self.groups[-1].get(passage)
-        if entry is None:
-            entry = self.groups[-1][passage] = [doc_id, last_id, []]
-            self.size += len(passage)
-        else:
-            if doc_id < entry[0]:
-                entry[0] = doc_id
-            if last_id > entry[1]:
-                entry[1] = last_id
-        if occurrence:
-            entry[2].append(occurrence)
-
-    def covered(self):
-        """(doc_id, copy, low, high): words that repeated windows cover."""
+    def add(self, passage: str, low: int, high: int, occurrence: tuple[int, int, int] | None) -> None:
+        self.passages.append(passage)
+        self.low.append(low)
+        self.high.append(high)
+        self.found.append(occurrence)
+        self.size += len(passage)
+
+    def covered(self) -> list[np.ndarray]:
+        """doc_id, copy, low and high of words that repeated windows cover."""
         import ahocorasick
 
-        phrases: dict[tuple[str, ...], int] = {}  # confirmed runs of windows with the same first document
-        streams = []
-        for group in self.groups:
-            split = {p: tuple(p.split(" ")) for p in group}
-            if len(group) == 1:
-                ((p, (low, high, found)),) = group.items()
-                if low < high:
-                    phrases[split[p]] = low
-                    streams.append((split[p], found))
-                continue
-            window: dict[tuple[str, ...], tuple[int, int]] = {}
-            for p, (low, high, _) in group.items():
-                words = split[p]
-                for i in range(len(words) - WINDOW + 1):
-                    w = words[i : i + WINDOW]
-                    known = window.get(w)
-                    window[w] = (low, high) if known is None else (min(low, known[0]), max(high, known[1]))
-            for p, (_, _, found) in group.items():
-                words, begin = split[p], None
-                some = False
-                for i in range(len(words) - WINDOW + 2):
-                    low, high = window[words[i : i + WINDOW]] if i <= len(words) - WINDOW else (0, 0)
-                    if begin is not None and (low >= high or low != of):
-                        phrases[words[begin : i + WINDOW - 1]] = of
-                        begin = None
-                    if low < high and begin is None:
-                        begin, of, some = i, low, True
-                if some:
-                    streams.append((words, found))
-        if not phrases:
-            return
-        number: dict[str, int] = {}
-        for words, _ in streams:
-            for w in words:
-                number.setdefault(w, len(number))
+        lists = pc.split_pattern(pa.array(self.passages, pa.string()), " ")
+        off = lists.offsets.to_numpy().astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        word = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        owner = np.repeat(np.arange(len(off) - 1), np.diff(off))
+        at = np.arange(len(word) - WINDOW + 1)
+        at = at[owner[at] == owner[at + WINDOW - 1]]
+        # confirm: windows of several documents, and the first of these
+        same, group = np.unique(gram_hashes(mix(word.astype(np.uint64)), WINDOW)[at], return_inverse=True)
+        low, high = np.array(self.low, np.int64)[owner[at]], np.array(self.high, np.int64)[owner[at]]
+        first, last = np.full(len(same), np.iinfo(np.int64).max), np.full(len(same), _NONE)
+        np.minimum.at(first, group, low)
+        np.maximum.at(last, group, high)
+        phrase = np.flatnonzero((low == first[group]) & (first < last)[group])
+        _, once = np.unique(group[phrase], return_index=True)
+        phrase = phrase[once]
+        if not len(phrase):
+            return [np.zeros(0, np.int64)] * 4
         digits = 1
-        while 256**digits < len(number):
+        while 256**digits < len(coded.dictionary):
             digits += 1
-        code = {w: "".join([chr(256 * d + 1 + (n >> 8 * d & 255)) for d in range(digits)]) for w, n in number.items()}
+        letters = np.stack([256 * d + 1 + (word >> 8 * d & 255) for d in range(digits)], 1)
+        text = letters.astype("<u4").tobytes().decode("utf-32-le")
         automaton = ahocorasick.Automaton()
-        for words, low in phrases.items():
-            automaton.add_word("".join(map(code.__getitem__, words)), (len(words), low))
-        del phrases
+        for i, of in zip(at[phrase].tolist(), first[group[phrase]].tolist()):
+            automaton.add_word(text[i * digits : (i + WINDOW) * digits], of)
         automaton.make_automaton()
-        for words, found in streams:
-            if not found:
-                continue
-            hits = sorted([((end + 1) // digits - n, n, low) for end, (n, low) in automaton.iter("".join(map(code.__getitem__, words)))])
-            for doc_id, copy, start in found:
-                begin = end = -1
-                for i, n, low in hits:
-                    if low < doc_id:
-                        if i <= end:
-                            end = max(end, i + n)
-                        else:
-                            if end > 0:
-                                yield doc_id, copy, start + begin, start + end
-                            begin, end = i, i + n
-                if end > 0:
-                    yield doc_id, copy, start + begin, start + end
+        hits = np.array(list(automaton.iter(text)), np.int64).reshape(-1, 2)
+        del automaton
+        start, of = (hits[:, 0] + 1) // digits - WINDOW, hits[:, 1]
+        told = np.array([f is not None for f in self.found])
+        doc, copy, begin = np.array([f or (_NONE, 0, 0) for f in self.found], np.int64).T
+        row = owner[start]
+        ok = (row == owner[start + WINDOW - 1]) & told[row] & (of < doc[row])
+        start, row = start[ok], row[ok]
+        if not len(row):
+            return [np.zeros(0, np.int64)] * 4
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (start[1:] > start[:-1] + WINDOW)
+        opens = np.flatnonzero(new)
+        ends = start[np.append(opens[1:], len(row)) - 1] + WINDOW
+        own = row[opens]
+        place = begin[own] - off[own]
+        return [doc[own], copy[own], start[opens] + place, ends + place]
+
+
+def single_windows(rows: DataFrame) -> DataFrame:
+    """Passages cut into windows, whose hash takes the anchor's place."""
+
+    def run(batches):
+        for batch in batches:
+            lists = pc.split_pattern(batch.column("passage"), " ")
+            ids, copies, starts = (batch.column(c).to_pylist() for c in ("doc_id", "copy", "start"))
+            out: list[list] = [[], [], [], []]
+            for words, d, c, start in zip(lists.to_pylist(), ids, copies, starts):
+                for i in range(len(words) - WINDOW + 1):
+                    for column, value in zip(out, (d, c, start + i, " ".join(words[i : i + WINDOW]))):
+                        column.append(value)
+            if out[0]:
+                texts = pa.array(out[3], pa.string())
+                raw, off = text_bytes(texts)
+                key = word_hashes(raw, off[:-1], off[1:])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *[pa.array(x, pa.int64()) for x in out[:3]], texts], schema=_PASSAGES_ARROW)
+
+    return rows.select("anchor", "doc_id", "copy", "start", "passage").mapInArrow(run, _PASSAGES)
 
 
 def locate(found: DataFrame) -> DataFrame:
-    """Covered words of all passages: (doc_id, copy, low, high)."""
-    hot = found.where("salts > 1")
-    texts = hot.groupBy("anchor", "passage").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"), F.first("salts").alias("salts"))
+    """Covered words of all passages (..., salts): (doc_id, copy, low, high)."""
+    texts = found.where("salts > 1").groupBy("anchor", "passage").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"), F.first("salts").alias("salts"))
     phrases = texts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     phrases = phrases.select("anchor", "salt", "passage", "doc_id", "last", F.lit(None).cast("long").alias("copy"), F.lit(None).cast("long").alias("start"))
     salt = F.when(F.col("salts") > 1, F.pmod(F.xxhash64("doc_id"), F.col("salts"))).otherwise(0).cast("int")
@@ -308,21 +307,18 @@ def locate(found: DataFrame) -> DataFrame:
     def run(batches):
         shard, last = Shard(), None
         for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            out = []
-            for anchor, salt, passage, doc_id, last_id, copy, start in zip(*columns):
+            for anchor, salt, passage, doc_id, last_id, copy, start in zip(*(c.to_pylist() for c in batch.columns)):
                 if (anchor, salt) != last:
                     if shard.size >= AUTOMATON_CHARS:
-                        out += shard.covered()
+                        yield out(shard)
                         shard = Shard()
                     last = (anchor, salt)
-                    shard.open()
                 shard.add(passage, doc_id, last_id, None if start is None else (doc_id, copy, start))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=_COVERED_ARROW)
-        out = list(shard.covered())
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=_COVERED_ARROW)
+        if shard.size:
+            yield out(shard)
+
+    def out(shard: Shard) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in shard.covered()], schema=_COVERED_ARROW)
 
     by = seen.unionByName(phrases).repartition("anchor", "salt").sortWithinPartitions("anchor", "salt")
     return by.mapInArrow(run, _COVERED)
@@ -357,8 +353,12 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     shared = stage(shared_anchors(document_anchors(docs), HOT_DOCS), "anchors")
     lists = shared.where("doc_id is not null").groupBy("doc_id").agg(F.collect_list("anchor").alias("shared"))
     found = stage(passages(docs.select("doc_id", "text").join(lists, "doc_id")), "passages")
-    hot = shared.where("doc_id is null").select("anchor", F.ceil(F.col("n") / HOT_DOCS).cast("int").alias("salts"))
-    found = beside(found, hot, "anchor", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    hot = shared.where("doc_id is null").select("anchor", F.lit(1).alias("hot")).distinct()
+    found = beside(found, hot, "anchor", "left")
+    windows = stage(single_windows(found.where("hot = 1")), "windows")
+    many = windows.groupBy("anchor").agg(F.ceil(F.count("*") / HOT_DOCS).cast("int").alias("salts")).where("salts > 1")
+    windows = beside(windows, many, "anchor", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    found = found.where("hot is null").drop("hot").withColumn("salts", F.lit(1)).unionByName(windows)
     spans = locate(found).groupBy("doc_id").agg(F.collect_list(F.struct("copy", "low", "high")).alias("__spans"))
     cut = docs.join(spans, "doc_id", "left").withColumn("__cut", F.arrow_udf(_cut, _CUT)("text", "__spans"))
     return cut.select(*[F.col(c) for c in docs.columns], "__cut.n_words", "__cut.n_removed", "__cut.kept")
@@ -368,3 +368,16 @@ def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
     """What 13-word windows of earlier documents leave of each document."""
     cut = dedup_substrings(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP1_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+win AS (SELECT doc_id, i, array_to_string(w[i:i+12], ' ') AS s FROM p WHERE i + 12 <= len(w)),
+f AS (SELECT s, min(doc_id) AS first FROM win GROUP BY s),
+cov AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM win JOIN f USING (s) WHERE first < doc_id),
+k AS (SELECT p.doc_id, count(cov.i)::BIGINT AS n_removed, string_agg(w[p.i], ' ' ORDER BY p.i) FILTER (cov.i IS NULL) AS kept
+  FROM p LEFT JOIN cov ON cov.doc_id = p.doc_id AND cov.i = p.i GROUP BY p.doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""

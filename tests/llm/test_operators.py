@@ -78,6 +78,36 @@ def test_op1_hot_anchor(spark, monkeypatch):
     assert {d: [(r.n_words, r.n_removed, r.kept)] for d, r in got.items()} == cut_windows(texts)
 
 
+def test_op1_many_contexts(spark, monkeypatch):
+    """One common anchor in a text of its own each time, some of these twice, and a common window."""
+    monkeypatch.setattr(substrings, "HOT_DOCS", 5)
+    monkeypatch.setattr(substrings, "AUTOMATON_CHARS", 2000)
+    rng = np.random.default_rng(9)
+    word = lambda n: " ".join(f"x{v}" for v in rng.integers(0, 4000, n))
+    texts = [(i, f"{word(14)} one two three four {word(14)}") for i in range(30)]
+    texts += [(40 + i, f"{word(3)} {t[30:120]} {word(4)}") for i, (_, t) in enumerate(texts[:12])]
+    texts += [(60 + i, f"{word(2)} " + " ".join(f"c{k}" for k in range(13)) + " one two three four") for i in range(15)]
+    got = by_id(substrings.dedup_substrings(spark.createDataFrame(texts, "doc_id long, text string").repartition(3)))
+    assert {d: [(r.n_words, r.n_removed, r.kept)] for d, r in got.items()} == cut_windows(texts)
+    assert sum(r.n_removed > 0 for r in got.values()) > 20
+
+
+def test_sql(spark):
+    """The operators' SQL on the smallest tables."""
+    import duckdb
+
+    from capstride.llm import queries
+
+    con = duckdb.connect()
+    for name in ("documents", "embeddings"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
+    for name, sql in queries.oracle_sql().items():
+        df = queries.queries()[name](spark, SF)
+        want = con.sql(sql)
+        assert sorted(want.columns) == sorted(df.columns)
+        assert sorted(map(tuple, df.select(*want.columns).collect())) == sorted(want.fetchall()), name
+
+
 def test_op2(spark):
     rng = np.random.default_rng(1)
     vectors = [(i, rng.normal(size=6).round(1).tolist()) for i in range(300)] + [(301, None), (302, [float("nan")] * 6), (303, [1.0, None] * 3), (None, [1.0] * 6), (350, [0.5]), (351, [0.25]), (400, [])]
