@@ -11,7 +11,9 @@ Query blocks meet every shard: that is the stated query set against all rows, in
 Defined cases: vectors that are null, or hold null or non-finite components, take no part, nor do rows without an id;
 vectors meet vectors of their own length only; equal scores rank by the smaller id; repeated ids are candidates of
 their own, except that a query skips all rows of its own id; fewer than k candidates give fewer rows; an empty table
-gives none.  Products are exact while length * max(|component|)^2 < 2^53; larger ones use Python integers.
+gives none.  Scores are exact: products below 2^53 are made of doubles, larger ones of Python integers; what a long can't
+hold becomes its least or largest value.  Components beyond the doubles after scaling count as the largest double.
+Empty vectors have no component to score and take no part.
 """
 
 from __future__ import annotations
@@ -30,17 +32,19 @@ _LOW = np.iinfo(np.int64).min + 1
 
 
 def quantize(vectors: DataFrame, id_column: str, vector_column: str, scale: int = SCALE) -> DataFrame:
-    """(id, q): floor(scale * x) of each component as a double; rows without a whole vector are left out."""
+    """(id, q): floor(scale * x) of each component, a whole number as a double; rows without a whole vector are left out."""
     x = F.col(vector_column).cast("array<double>")
-    finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < 2.0**62 / scale))
-    # nothing that is not finite passes; finite components beyond 2^62 / scale would not fit a long
+    most = 1.7976931348623157e308
+    finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) <= most))
+    # doubles of 2^53 and more are whole
+    whole = lambda v: F.when(F.abs(v) * scale < 2.0**53, F.floor(v * scale).cast("double")).otherwise(F.greatest(F.least(v * scale, F.lit(most)), F.lit(-most)))
     return vectors.where(F.col(id_column).isNotNull() & F.col(vector_column).isNotNull() & (F.size(vector_column) > 0)).where(finite).select(
-        F.col(id_column).cast("long").alias("id"), F.transform(x, lambda v: F.floor(v * scale)).alias("q")
+        F.col(id_column).cast("long").alias("id"), F.transform(x, whole).alias("q")
     )
 
 
 class BallTree:
-    """A ball tree over rows of integers; nodes are arrays, leaves are runs of rows."""
+    """A ball tree over rows of whole numbers; nodes are arrays, leaves are runs of rows."""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray, leaf: int = LEAF_ROWS):
         self.order = np.arange(len(ids))
@@ -49,8 +53,9 @@ class BallTree:
         self.centres: list[np.ndarray] = []
         self.radii: list[float] = []
         self._build(ids, 0, len(ids), leaf)
-        self.ids, self.x, self.exact = ids[self.order], self.x[self.order], rows[self.order]
+        self.ids, self.x = ids[self.order], self.x[self.order]
         self.centre, self.radius = np.array(self.centres), np.array(self.radii)
+        self.reach = np.sqrt((self.centre**2).sum(1)) + self.radius
 
     def _build(self, ids: np.ndarray, begin: int, end: int, leaf: int) -> int:
         own = self.order[begin:end]
@@ -77,7 +82,7 @@ class Search:
     """The best k of each query so far: scores descending, equal scores by ascending id."""
 
     def __init__(self, ids: np.ndarray, q: np.ndarray, k: int, score: np.ndarray, best: np.ndarray):
-        self.q_ids, self.exact, self.q = ids, q, q.astype(np.float64)
+        self.q_ids, self.q = ids, q.astype(np.float64)
         self.norm = np.sqrt((self.q**2).sum(1))
         self.k = k
         self.score = np.full((len(ids), k), _LOW)
@@ -94,11 +99,13 @@ class Search:
         """Which of the queries `at` still need `node`."""
         score, best = self._kth(at)
         limit = score.astype(np.float64)
-        slack = 1e-6 * (1 + np.abs(bound))  # for rounding; scores are whole numbers
-        return (bound + slack >= limit + 1) | ((bound + slack >= limit) & (tree.nodes[node][4] <= best))
+        # bounds that overflowed leave nothing out; whole numbers that are not equal differ by 1
+        return ~(bound < limit) & (~(bound < limit + 1) | (tree.nodes[node][4] <= best))
 
     def bounds(self, tree: BallTree, node: int, at: np.ndarray) -> np.ndarray:
-        return self.q[at] @ tree.centre[node] + self.norm[at] * tree.radius[node]
+        # doubles round in proportion to the lengths of the vectors, not to their product
+        slack = 1e-6 + 1e-9 * self.norm[at] * tree.reach[node]
+        return self.q[at] @ tree.centre[node] + self.norm[at] * tree.radius[node] + slack
 
     def visit(self, tree: BallTree, node: int, at: np.ndarray, bound: np.ndarray) -> None:
         keep = self.open(tree, node, at, bound)
@@ -120,7 +127,7 @@ class Search:
         step = 4096
         for low in range(begin, end, step):
             high = min(end, low + step)
-            score = product(self.q[at], tree.x[low:high], self.exact[at], tree.exact[low:high])
+            score = product(self.q[at], tree.x[low:high])
             ids = np.broadcast_to(tree.ids[low:high], score.shape)
             score = np.where(ids == self.q_ids[at][:, None], _LOW, score)
             score, ids = np.concatenate([self.score[at], score], 1), np.concatenate([self.best[at], ids], 1)
@@ -130,11 +137,14 @@ class Search:
             self.best[at] = np.take_along_axis(ids, by, 1)
 
 
-def product(a: np.ndarray, b: np.ndarray, exact_a: np.ndarray, exact_b: np.ndarray) -> np.ndarray:
-    """Exact integer products of rows."""
+_WHOLE = np.frompyfunc(int, 1, 1)
+
+
+def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Exact products of rows of whole numbers, as longs."""
     if a.shape[1] * np.abs(a).max(initial=0) * np.abs(b).max(initial=0) < 2.0**53:
         return (a @ b.T).astype(np.int64)
-    wide = exact_a.astype(object) @ exact_b.T.astype(object)
+    wide = _WHOLE(a).astype(object) @ _WHOLE(b).T.astype(object)
     return np.clip(wide, _LOW + 1, np.iinfo(np.int64).max).astype(np.int64)
 
 
@@ -151,7 +161,7 @@ def packed(rows: DataFrame, size: int) -> DataFrame:
         def out():
             x = np.concatenate(parts).reshape(len(ids), -1)
             return pa.RecordBatch.from_arrays(
-                [pa.array([key[0]]), pa.array([key[1]], pa.int32()), pa.array([np.array(ids, np.int64).tobytes()]), pa.array([x.astype(np.int64).tobytes()])],
+                [pa.array([key[0]]), pa.array([key[1]], pa.int32()), pa.array([np.array(ids, np.int64).tobytes()]), pa.array([x.astype(np.float64).tobytes()])],
                 schema=_PACKED_ARROW,
             )
 
@@ -185,10 +195,11 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = K, shard_rows: int
     none = np.iinfo(np.int64).max
 
     def search(batches):
+        np.seterr(over="ignore", invalid="ignore")
         tree, trees = None, []
         for batch in batches:
             for row in batch.to_pylist():
-                ids, x = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["rows"], np.int64).reshape(-1, row["dim"])
+                ids, x = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["rows"], np.float64).reshape(-1, row["dim"])
                 if not row["query"]:
                     # a shard may come in two parts; blocks then follow both
                     trees = [*trees, BallTree(ids, x)] if tree == (row["to"], row["dim"]) else [BallTree(ids, x)]

@@ -6,8 +6,9 @@ Kneser-Ney continuation counts.  Models are sorted arrays of 64-bit n-gram hashe
 and one of back-off weights for each language.  A document's cross-entropy under a language is its nats a character;
 the lowest wins.  As models stop at word borders, a worker scores each distinct word once and sums.
 
-Training takes at most TRAIN_DOCS documents of a language (those of the smallest hash of doc_id) and TRAIN_CHARS
-characters of each: the bounded sample of labelled rows.  Predictions take whole texts.
+Training takes at most TRAIN_DOCS documents of a language (those of the smallest hash of doc_id), the bounded sample of
+labelled rows, with their whole texts: workers count their words, of which the driver gets each one once a language.
+Predictions take whole texts.
 
 The rejection threshold of a language is the REJECT quantile of the cross-entropy of its own training documents that
 the counts leave out; `rejected` marks predictions above it.
@@ -18,15 +19,17 @@ every document `und`; ties go to the language that sorts first; other columns ar
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, read, text_slices
+from .common import arrow_schema, read, stage, text_slices
 
 ORDER = 4
-TRAIN_DOCS, TRAIN_CHARS = 400, 4000
+TRAIN_DOCS = 400
 #: Share of each language's sample that only calibrates.
 CALIBRATE = 4
 REJECT = 0.99
@@ -75,16 +78,20 @@ class LanguageModels:
         self.floor = np.zeros(len(languages))
         self.limits = np.full(len(languages), np.inf)
 
-    def fit(self, samples: list[list[str]]) -> LanguageModels:
-        """Learn from the lower-cased words of each language."""
+    def fit(self, samples: list) -> LanguageModels:
+        """Learn from the lower-cased words of each language, or from counts of them."""
         size = len(self.languages)
         grams: list[list[tuple]] = [[] for _ in range(ORDER)]
-        for words in samples:
-            codes, _ = word_codes(words)
+        for sample in samples:
+            weights_of = Counter(sample)
+            words = sorted(weights_of)
+            codes, off = word_codes(words)
             at = predicted(codes)
             at = at[at >= ORDER - 1]
             full = np.stack([codes[at - ORDER + 1 + j] for j in range(ORDER)], 1) if len(at) else np.zeros((0, ORDER), "<u4")
-            rows, counts = np.unique(full, axis=0, return_counts=True)
+            rows, inverse = np.unique(full, axis=0, return_inverse=True)
+            times = np.array([weights_of[w] for w in words], np.int64)[np.searchsorted(off, at, side="right") - 1]
+            counts = np.bincount(inverse.reshape(-1), times, len(rows)).astype(np.int64)
             for k in range(ORDER, 0, -1):
                 grams[k - 1].append((rows, counts))
                 # lower orders count the distinct characters to the left: continuation counts
@@ -197,35 +204,57 @@ def held_out(doc_id="doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit_models(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS) -> LanguageModels:
-    """Models and thresholds from rows (doc_id, text, lang); the driver gets at most train_docs texts of train_chars a language."""
+_COUNTS, _COUNTS_ARROW = arrow_schema("lang string, word string, n long")
+_OWN, _OWN_ARROW = arrow_schema("lang string, cross_entropy double")
+
+
+def fit_models(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> LanguageModels:
+    """Models and thresholds from rows (doc_id, text, lang); the driver gets counts of the words of at most train_docs texts a language."""
     bucket = Window.partitionBy("lang", "bin").orderBy("token", "doc_id")
     token = F.xxhash64("doc_id")
-    rows = docs.where("lang is not null and text is not null and doc_id is not null").select(
-        "lang", "doc_id", F.substring("text", 1, train_chars).alias("text"), token.alias("token"), F.pmod(token, F.lit(64)).alias("bin")
-    )
+    rows = docs.where("lang is not null and text is not null and doc_id is not null").select("lang", "doc_id", "text", token.alias("token"), F.pmod(token, F.lit(64)).alias("bin"))
     # first the smallest hashes of 64 bins, then of all: no window holds a language as a whole
     ids = rows.select("lang", "doc_id", "token", "bin")
     few = ids.withColumn("n", F.row_number().over(bucket)).where(F.col("n") <= train_docs)
     few = few.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("token", "doc_id"))).where(F.col("n") <= train_docs)
-    # n * languages ids at most
-    sample = rows.join(F.broadcast(few.select("lang", "doc_id", "n")), ["lang", "doc_id"]).select("lang", "n", "text").collect()
-    by: dict[str, list[tuple[int, str]]] = {}
-    for lang, n, text in sample:
-        by.setdefault(lang, []).append((n, text))
-    languages = sorted(by)
+    # train_docs * languages ids at most
+    sample = stage(rows.join(F.broadcast(few.select("lang", "doc_id", "n")), ["lang", "doc_id"]).select("lang", "n", "text"), "sample")
+    sizes = dict(sample.groupBy("lang").agg(F.max("n")).collect())
+    languages = sorted(sizes)
     if not languages:
         return LanguageModels([])
-    for texts in by.values():
-        texts.sort()
-    held = lambda n: n % CALIBRATE == 0
-    train = [[w for n, t in by[x] if not held(n) or len(by[x]) < CALIBRATE for w in t.lower().split()] for x in languages]
-    models = LanguageModels(languages).fit(train)
-    scorer = Scorer(models)
-    for i, x in enumerate(languages):
-        own = [t for n, t in by[x] if held(n) and has_letter(t)]
-        if own:
-            models.limits[i] = float(np.quantile(scorer.entropies(own)[:, i], REJECT))
+    held = F.col("n") % CALIBRATE == 0
+    few_rows = [x for x in languages if sizes[x] < CALIBRATE]
+    train = sample.where(~held | F.col("lang").isin(few_rows))
+
+    def count(batches):
+        for batch in batches:
+            for part in text_slices(batch):
+                counts = Counter((lang, w) for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist()) for w in text.lower().split())
+                if counts:
+                    langs, words = zip(*counts)
+                    yield pa.RecordBatch.from_arrays([pa.array(langs), pa.array(words, pa.string()), pa.array(list(counts.values()), pa.int64())], schema=_COUNTS_ARROW)
+
+    words: dict[str, dict[str, int]] = {x: {} for x in languages}
+    for lang, word, n in train.select("lang", "text").mapInArrow(count, _COUNTS).groupBy("lang", "word").agg(F.sum("n")).collect():
+        words[lang][word] = n
+    models = LanguageModels(languages).fit([words[x] for x in languages])
+
+    def own(batches):
+        scorer = Scorer(models)
+        for batch in batches:
+            for part in text_slices(batch):
+                some = [(x, t) for x, t in zip(part.column("lang").to_pylist(), part.column("text").to_pylist()) if has_letter(t)]
+                if some:
+                    loss = scorer.entropies([t for _, t in some])
+                    at = [languages.index(x) for x, _ in some]
+                    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in some]), pa.array(loss[np.arange(len(at)), at])], schema=_OWN_ARROW)
+
+    found: dict[str, list[float]] = {}
+    for lang, e in sample.where(held).select("lang", "text").mapInArrow(own, _OWN).collect():
+        found.setdefault(lang, []).append(e)
+    for lang, losses in found.items():
+        models.limits[languages.index(lang)] = float(np.quantile(losses, REJECT))
     return models
 
 

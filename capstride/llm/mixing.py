@@ -9,7 +9,8 @@ rounds that each move one well-fitting document of a source by one copy close mo
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in the order; documents of size 0
 take 0 words; a source whose target reaches the cap gets the cap for all; an empty table gives an empty result;
-other columns are ignored; repeated rows are separate documents.
+other columns are ignored; repeated rows, and rows with equal doc_ids, are separate documents, of which each has copies of
+its own; equal rates are rounded in the order of hashes of doc_id and text, so that reruns agree.
 """
 
 from __future__ import annotations
@@ -17,11 +18,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import global_rank, read, stage, word_count
+from .common import discard, global_rank, read, stage, word_count
 
 WEIGHTS = (5, 2, 1)
 CAP = 3.0
-STEPS = 60
+STEPS = 200
 #: Rounds that move one document of each source after rounding.
 REPAIRS = 3
 TOLERANCE = 1e-7
@@ -56,7 +57,8 @@ def source_targets(sources: DataFrame, weights=WEIGHTS, cap: float = CAP) -> Dat
 def balance(histogram: DataFrame, targets: DataFrame, cap: float = CAP, steps: int = STEPS) -> DataFrame:
     """Solve the dual: rows (source, lam, mean) for `histogram` (source, size, n) and `targets` (source, source_size, target).
 
-    A Newton step that leaves the bracket of its source is replaced by bisection, so that it always converges.
+    A Newton step that leaves the bracket of its source is replaced by bisection, so that it always converges: STEPS are
+    more than bisections alone take.
     """
     spark = histogram.sparkSession
     used = histogram.where("size > 0")
@@ -91,18 +93,20 @@ def balance(histogram: DataFrame, targets: DataFrame, cap: float = CAP, steps: i
         middle = (F.col("lo") + F.col("hi")) / 2
         inside = (F.col("newton") > F.col("lo")) & (F.col("newton") < F.col("hi"))
         stuck = F.col("hi") - F.col("lo") <= 1e-12
-        state = stage(step.select(
+        before, state = state, stage(step.select(
             "source", "target", "mean",
             F.when(F.col("done"), F.col("lam")).when(inside, F.col("newton")).otherwise(middle).alias("lam"),
             "lo", "hi", (F.col("done") | stuck).alias("done"),
         ), "dual")
+        discard(before)
         if not state.where("not done").limit(1).count():
             break
     return state.select("source", "lam", "mean")
 
 
 def mix(sized: DataFrame, weights=WEIGHTS, cap: float = CAP) -> DataFrame:
-    """Add source_size, target, rate and copies to rows (doc_id, source, size, ...)."""
+    """Add source_size, target, rate and copies to rows (doc_id, source, size, text_hash, row, ...), as sizes() makes them."""
+    sized = stage(sized, "sizes")
     histogram = stage(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "histogram")
     sources = histogram.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))
     targets = stage(source_targets(sources, weights, cap), "targets")
@@ -128,7 +132,7 @@ def mix(sized: DataFrame, weights=WEIGHTS, cap: float = CAP) -> DataFrame:
     share = F.col("bin_n") * (F.col("bin_rate") - F.floor("bin_rate"))
     along = Window.partitionBy("source").orderBy("size", "bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = bins.withColumn("before", F.coalesce(F.sum(share).over(along), F.lit(0.0)))
-    rank = F.row_number().over(Window.partitionBy("source", "size", "bin").orderBy("token", "doc_id"))
+    rank = F.row_number().over(Window.partitionBy("source", "size", "bin").orderBy("token", "doc_id", "text_hash", "row"))
     placed = placed.withColumn("rank", rank)
     after = F.floor(F.col("before") + F.col("rank") * part + 0.5)
     extra = after - F.floor(F.col("before") + (F.col("rank") - 1) * part + 0.5)
@@ -148,24 +152,26 @@ def repair(mixed: DataFrame, cap: float = CAP, rounds: int = REPAIRS) -> DataFra
         fits = (F.col("size") > 0) & (F.col("copies") + change).between(0, int(cap)) & (F.col("size") < 2 * F.abs("gap"))
         gaps = mixed.join(gaps.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
         best = gaps.where(fits).groupBy("s").agg(
-            F.min(F.struct(F.abs(F.col("size") - F.abs("gap")), "doc_id")).alias("best"), F.first(change).alias("change")
-        ).select(F.col("s"), F.col("best.doc_id").alias("chosen"), "change")
-        hit = F.col("source").eqNullSafe(F.col("s")) & (F.col("doc_id") == F.col("chosen"))
-        moved = mixed.join(best, hit, "left").withColumn("copies", F.col("copies") + F.coalesce("change", F.lit(0)))
-        mixed = moved.drop("s", "chosen", "change")
+            F.min(F.struct(F.abs(F.col("size") - F.abs("gap")), "doc_id", "text_hash", "row")).alias("best"), F.first(change).alias("change")
+        ).select(F.col("best.row").alias("chosen"), "change")
+        # one row of each source
+        moved = mixed.join(best, F.col("row") == F.col("chosen"), "left").withColumn("copies", F.col("copies") + F.coalesce("change", F.lit(0)))
+        before, mixed = mixed, moved.drop("chosen", "change")
         if k + 1 < rounds:
             mixed = stage(mixed, "copies")
+            discard(before)
     return mixed
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size) of documents; the size is the number of words."""
-    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+def sizes(docs: DataFrame, row=None) -> DataFrame:
+    """(doc_id, source, size, text_hash, row) of documents; the size is the number of words, `row` tells rows apart."""
+    row = F.monotonically_increasing_id() if row is None else row
+    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash"), row.alias("row"))
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
     """Words that the mix takes of each document of `documents`."""
-    mixed = mix(stage(sizes(read(spark, sf_dir, "documents")), "sizes"))
+    mixed = mix(sizes(read(spark, sf_dir, "documents")))
     return mixed.select(
         "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate"
     )

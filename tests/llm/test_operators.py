@@ -124,6 +124,26 @@ def test_op2(spark):
     assert not balltree.top_k(q.limit(0), q.limit(0)).count()
 
 
+def test_op2_large(spark):
+    """Components and scores far beyond 2^53, and beyond what a long holds."""
+    rng = np.random.default_rng(3)
+    vectors = [(i, (rng.normal(size=3) * 10.0 ** rng.integers(0, 9)).tolist()) for i in range(150)]
+    vectors += [(200, [1e16, 1.0, 0.0]), (201, [-1e16, 3.0, 0.0]), (250, [1e16, 2.0, 5.0]), (300, [1e300, 0.0, 1.0]), (301, [1.7e308, -1.0, 0.0]), (302, [0.0, 0.0, 0.0])]
+    q = balltree.quantize(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"), "vec_id", "embedding").cache()
+    got = sorted(map(tuple, balltree.top_k(q, q.where("id % 50 = 0"), 5, 32, 4).collect()))
+    from fractions import Fraction
+
+    most = int(1.7976931348623157e308)
+    whole = {i: [max(-most, min(most, (Fraction(x) * 256).__floor__())) for x in v] for i, v in vectors}
+    held = lambda s: max(-(2**63) + 2, min(2**63 - 1, s))
+    want = []
+    for i, v in whole.items():
+        if i % 50 == 0:
+            best = sorted((-held(sum(a * b for a, b in zip(v, w))), j) for j, w in whole.items() if j != i)[:5]
+            want += [(i, n, j, -s) for n, (s, j) in enumerate(best, 1)]
+    assert got == sorted(want)
+
+
 def test_op2_prunes():
     rng = np.random.default_rng(2)
     x = np.concatenate([rng.normal(c, 1, (200, 4)) for c in (0, 500, -500)]).astype(np.int64)
@@ -320,7 +340,15 @@ def test_op5(spark, docs, rows, awkward, nothing):
         taken[s] += r.taken
     assert all(abs(taken[s] - got[d].target) <= 0.02 * got[d].target + min(size.values()) for d, s in source.items())
     mixed = mixing.mix(mixing.sizes(awkward)).collect()
-    assert len(mixed) == 12 and all(r.copies <= 3 for r in mixed)
+    assert len(mixed) == 12 and all(0 <= r.copies <= 3 for r in mixed)
+    # few ids, many rows: each row has copies of its own
+    rng = np.random.default_rng(6)
+    repeated = [(int(rng.integers(7)), " ".join(["w"] * int(rng.integers(1, 200))), f"s{i % 2}") for i in range(60)]
+    found = mixing.mix(mixing.sizes(spark.createDataFrame(repeated, "doc_id long, text string, source string"))).collect()
+    assert len(found) == 60 and all(0 <= r.copies <= 3 for r in found)
+    for s in ("s0", "s1"):
+        own = [r for r in found if r.source == s]
+        assert abs(sum(r.copies * r.size for r in own) - own[0].target) <= 100
     assert not mixing.mix(mixing.sizes(nothing)).count()
 
 
