@@ -20,8 +20,12 @@ BROADCAST_ROWS = 250_000
 MEETINGS, LEADERS = 4, 8
 #: Rounds before rest().
 ROUNDS = 2
-#: Buckets of at most so many nodes are searched for company that is near enough; in larger ones all nodes stay.
+#: In buckets of at most so many nodes, every two are told apart at once; of larger ones, all nodes stay.
 SEARCHED = 64
+#: Rows of a bucket in one step above which they are dealt by node, when there are sims.
+COMPANY = 8
+#: Asking nodes, and asked ones, of a block.
+BLOCK = 512
 
 
 def beside(rows: DataFrame, small: DataFrame, on, how: str = "inner") -> DataFrame:
@@ -33,12 +37,12 @@ def beside(rows: DataFrame, small: DataFrame, on, how: str = "inner") -> DataFra
     return rows.join(F.broadcast(small) if few else small, on, how)
 
 
-def company(bucket: np.ndarray, node: np.ndarray, sim: np.ndarray | None = None, near: Callable | None = None) -> list[np.ndarray]:
+def company(bucket: np.ndarray, node: np.ndarray, sim: np.ndarray | None = None) -> list[np.ndarray]:
     """Rows (bucket, node[, sim], n) that one step of a task sends to shared_buckets().
 
     What meets within the step is shared for sure: such rows have n = 0 and are dealt by node.  One row of the bucket
     stands for them, with n = 2; all others have n = 1.  So however common a bucket is, its own task gets one row of a
-    step.  `near` tells, of two arrays of sims, who may be linked: in small buckets only such rows meet.
+    step, or at most COMPANY rows with sims, as these are compared there.
     """
     by = np.lexsort((node, bucket))
     rows = [x[by] for x in ((bucket, node) if sim is None else (bucket, node, sim))]
@@ -48,41 +52,29 @@ def company(bucket: np.ndarray, node: np.ndarray, sim: np.ndarray | None = None,
     new = np.ones(len(b), bool)
     new[1:] = (b[1:] != b[:-1]) | (n[1:] != n[:-1])
     rows = [x[new] for x in rows]
-    b = rows[0]
-    meets = _near(b, None if sim is None else rows[2], near)
+    meets = _sizes(rows[0]) > (1 if sim is None else COMPANY)
     first = np.flatnonzero(meets)
-    first = first[np.concatenate([[True], b[first][1:] != b[first][:-1]])] if len(first) else first
-    at = np.concatenate([np.arange(len(b)), first])
+    first = first[np.concatenate([[True], rows[0][first][1:] != rows[0][first][:-1]])] if len(first) else first
+    at = np.concatenate([np.arange(len(meets)), first])
     return [*[x[at] for x in rows], np.concatenate([np.where(meets, 0, 1), np.full(len(first), 2)])]
 
 
-def _near(b: np.ndarray, sim: np.ndarray | None, near: Callable | None) -> np.ndarray:
-    """Which rows of sorted buckets have another (that may be linked, in buckets of at most SEARCHED rows)."""
-    if not len(b):
-        return np.zeros(0, bool)
-    first = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
+def _sizes(b: np.ndarray) -> np.ndarray:
+    """For each row of sorted buckets, its bucket's number of rows."""
+    first = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if len(b) else np.zeros(0, np.int64)
     count = np.diff(np.append(first, len(b)))
-    size = np.repeat(count, count)
-    if near is None:
-        return size > 1
-    out = size > SEARCHED
-    for step in range(1, SEARCHED):
-        at = np.flatnonzero((b[step:] == b[:-step]) & (size[step:] <= SEARCHED))
-        if not len(at):
-            break
-        at = at[near(sim[at], sim[at + step])]
-        out[at] = out[at + step] = True
-    return out
+    return np.repeat(count, count)
 
 
 def shared_buckets(rows: DataFrame, near: Callable | None = None) -> DataFrame:
-    """Of rows as company() makes them, (bucket, node[, sim]) of buckets with two nodes or more; partitions stream in order.
+    """Of rows as company() makes them, (bucket, node[, sim, other]) of buckets with two nodes or more.
 
-    With `near`, rows have a 64-bit `sim`, and in buckets of at most SEARCHED rows only those stay that may be linked
-    with another: most buckets of many lines are chance meetings.  A row may come twice.
+    With `near`, which tells of two arrays of 64-bit sims who may be linked, a bucket of at most SEARCHED rows gives
+    instead the pairs (node, other) in it that may be linked: most buckets of many lines are chance meetings.  Rows and
+    pairs may come twice; `other` is null in rows of larger buckets.  Partitions stream in order.
     """
     columns = ("bucket", "node", "n") + (("sim",) if near is not None else ())
-    out_columns = [c for c in columns if c != "n"]
+    names = ["bucket", "node"] + (["sim", "other"] if near is not None else [])
 
     def run(batches):
         held = big = None  # rows of the last bucket, to be judged with what follows; a bucket of which rows are out
@@ -99,13 +91,13 @@ def shared_buckets(rows: DataFrame, near: Callable | None = None) -> DataFrame:
             last = int(np.searchsorted(now[0], now[0][-1]))
             if last or len(now[0]) <= 4 * SEARCHED:
                 held = [x[last:] for x in now]
-                yield out(judged([x[:last] for x in now], big))
+                yield from judged([x[:last] for x in now], big)
             else:
                 # one large bucket fills what is held: all its nodes have company
                 held, big = [x[-1:] for x in now], now[0][-1]
                 yield out([x[:-1][now[2][:-1] == 1] for x in now])
         if held is not None:
-            yield out(judged(held, big))
+            yield from judged(held, big)
 
     def judged(now, big):
         b, n, stands = now[:3]
@@ -114,26 +106,85 @@ def shared_buckets(rows: DataFrame, near: Callable | None = None) -> DataFrame:
         now = [x[new] for x in now]
         b, n, stands = now[:3]
         if not len(b):
-            return now
-        keep = _near(b, now[3] if near is not None else None, near)
+            return
+        size = _sizes(b)
         # others of a row that stands for several are not here to be compared
         group = np.cumsum(np.concatenate([[0], b[1:] != b[:-1]]))
-        keep |= (np.bincount(group, stands == 2)[group] > 0) & (np.bincount(group)[group] > 1)
+        small = (np.bincount(group, stands == 2)[group] == 0) & (size <= SEARCHED) if near is not None else np.zeros(len(b), bool)
+        if big is not None:
+            small &= b != big
+        keep = (size > 1) & ~small
         if big is not None:
             keep |= b == big
         keep &= stands == 1
-        return [x[keep] for x in now]
+        yield out([x[keep] for x in now])
+        for step in range(1, SEARCHED) if small.any() else ():
+            at = np.flatnonzero((b[step:] == b[:-step]) & small[step:])
+            if not len(at):
+                break
+            at = at[near(now[3][at], now[3][at + step])]
+            if len(at):
+                yield out([b[at], n[at], b[at], now[3][at]], n[at + step])
 
-    def out(now):
-        return pa.RecordBatch.from_arrays([pa.array(x) for c, x in zip(columns, now) if c != "n"], names=out_columns)
+    def out(now, other=None):
+        arrays = [pa.array(x) for c, x in zip(columns, now) if c != "n"]
+        if near is not None:
+            arrays.append(pa.nulls(len(arrays[0]), pa.int64()) if other is None else pa.array(other))
+        return pa.RecordBatch.from_arrays(arrays, names=names)
 
     place = F.when(F.col("n") == 0, F.xxhash64("node")).otherwise(F.col("bucket"))
     by = rows.select(*columns).repartition(place).sortWithinPartitions("bucket", "node", "n")
-    return by.mapInArrow(run, ", ".join(f"{c} long" for c in out_columns))
+    return by.mapInArrow(run, ", ".join(f"{c} long" for c in names))
+
+
+def in_blocks(open_: DataFrame, facts: list, solve: Callable, beside_: DataFrame | None = None) -> DataFrame:
+    """(a, b) of what solve(bucket, parts) finds in blocks of at most some BLOCK asking and BLOCK other nodes.
+
+    `open_` is what bucket_components() hands to rest(); nodes that are not of a bucket's main component ask all others.
+    A part is a batch of rows (node, component, other, asks, ...): the columns `facts`, and those of `beside_` (node, ...).
+    Rows of a bucket with n nodes of which f ask are copied f / BLOCK times, and the asking ones n / BLOCK times.
+    """
+    rows = open_.select("bucket", "node", "component", (F.col("component") != F.col("main")).alias("other"), F.ceil(F.col("n") / BLOCK).alias("of"), F.ceil(F.col("others") / BLOCK).alias("by"), *facts)
+    if beside_ is not None:
+        rows = rows.join(beside_, "node")
+    place = lambda salt, n: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("long")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    asking = rows.where("other").select("*", F.lit(True).alias("asks"), place(1, "by").alias("i"), every("of").alias("j"))
+    asked = rows.select("*", F.lit(False).alias("asks"), every("by").alias("i"), place(2, "of").alias("j"))
+
+    def run(batches):
+        parts, last = [], None
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in ("bucket", "i", "j")], 1)
+            edges = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, [len(keys)]]).tolist()
+            for low, high in zip(edges, edges[1:]):
+                if high > low:
+                    key = tuple(keys[low].tolist())
+                    if key != last and parts:
+                        yield out(last[0], parts)
+                        parts = []
+                    last = key
+                    parts.append(batch.slice(low, high - low))
+        if parts:
+            yield out(last[0], parts)
+
+    def out(bucket, parts) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in solve(bucket, parts)], names=["a", "b"])
+
+    return asking.unionByName(asked).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(run, "a long, b long")
+
+
+def meeting(parts: list[pa.RecordBatch]):
+    """Of a block's parts: nodes, the indexes of those that ask and of the others, and which of these two may meet."""
+    node, component, other, asks = (np.concatenate([p.column(c).to_numpy(zero_copy_only=False) for p in parts]) for c in ("node", "component", "other", "asks"))
+    q, m = np.flatnonzero(asks), np.flatnonzero(~asks)
+    # two that both ask meet once
+    may = (component[q][:, None] != component[m][None, :]) & (~other[m][None, :] | (node[q][:, None] < node[m][None, :]))
+    return node, q, m, may
 
 
-def bucket_components(live: DataFrame, verify: Callable[[DataFrame], DataFrame], facts: DataFrame, possible: Callable, likeness: Callable, refine: Callable | None = None, rest: Callable | None = None) -> DataFrame | None:
-    """(node, component) of all linked nodes, or None if nothing is linked.
+def bucket_components(live: DataFrame, verify: Callable[[DataFrame], DataFrame], facts: DataFrame, possible: Callable, likeness: Callable, refine: Callable | None = None, rest: Callable | None = None, label: DataFrame | None = None) -> DataFrame | None:
+    """(node, component) of all linked nodes, or None if nothing is linked; `label` is what is known before.
 
     `live` is staged rows (bucket, node) of buckets with two nodes or more.  `verify` turns pairs (a, b) into
     (a, b, linked).  `facts` (node, fact) has a struct for each node; possible(fact, fact) is a native condition without
@@ -154,7 +205,7 @@ def bucket_components(live: DataFrame, verify: Callable[[DataFrame], DataFrame],
     counts = live.groupBy("bucket").agg(F.count("*").alias("n"))
     weights = live.join(counts, "bucket").groupBy("node").agg(F.sum("n").alias("weight"))
     live = stage(live.join(weights.join(facts, "node"), "node"), "weighed")
-    label = tried = None
+    tried = None
     k = m = 1
     rounds = 0
     while True:

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .buckets import beside, bucket_components, company, shared_buckets
+from .buckets import beside, bucket_components, company, in_blocks, meeting, shared_buckets
 from .common import arrow_schema, gram_hashes, mix, read, stage, text_bytes, text_slices, word_hashes, word_spans
 from .graph import forest, relabel
 
@@ -42,8 +42,6 @@ WORDS = -(-BANDS * ROWS // PACK)
 SLACK = 6.3
 #: Members that one task compares with a copy of the leader's text.
 SALT_PAIRS = 256
-#: Asking nodes, and asked ones, of a block.
-BLOCK = 512
 
 
 def shingle_sets(raw: np.ndarray, off: np.ndarray, shingle: int, fold: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -197,26 +195,14 @@ def verify(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
     return by.mapInArrow(run, _LINKS)
 
 
-_FOUND, _FOUND_ARROW = arrow_schema("a long, b long")
-
-
-class Block:
-    """Rows of one bucket's block: those that ask meet the others, by their full sets."""
-
-    def __init__(self, bucket: int, similar: int):
-        self.bucket, self.similar = bucket, similar
-        self.parts: list[tuple] = []
-
-    def add(self, batch: pa.RecordBatch, low: int, high: int) -> None:
-        part = batch.slice(low, high - low)
-        flat = [part.column(c).flatten().to_numpy().view(np.uint64).reshape(high - low, -1) for c in ("bits", "buckets")]
-        self.parts.append((*[part.column(c).to_numpy(zero_copy_only=False) for c in ("node", "component", "shingles", "own", "asks", "other")], *flat, part.column("grams").to_pylist()))
+def block_links(open_: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
+    """The links that bucket_components() wants of rest(), by full sets; each two nodes meet in the first bucket they share."""
 
-    def links(self) -> tuple[np.ndarray, np.ndarray]:
-        """Edges that connect what is linked."""
-        node, component, n, own, asks, other, bits, buckets = (np.concatenate(x) for x in list(zip(*self.parts))[:8])
-        grams = [np.frombuffer(g, np.uint64) for part in self.parts for g in part[8]]
-        q, m = np.flatnonzero(asks), np.flatnonzero(~asks)
+    def solve(bucket: int, parts: list[pa.RecordBatch]):
+        node, q, m, may = meeting(parts)
+        bits, buckets = (np.concatenate([p.column(c).flatten().to_numpy().view(np.uint64).reshape(p.num_rows, -1) for p in parts]) for c in ("bits", "buckets"))
+        n, own = (np.concatenate([p.column(c).to_numpy() for p in parts]) for c in ("shingles", "own"))
+        grams = [np.frombuffer(g, np.uint64) for p in parts for g in p.column("grams").to_pylist()]
         agree = np.full((len(q), len(m)), bits.shape[1] * PACK, np.int32)
         for i in range(bits.shape[1]):
             apart = bits[q, i][:, None] ^ bits[m, i][None, :]
@@ -225,61 +211,26 @@ class Block:
             agree -= np.bitwise_count(apart & np.uint64(0x1111111111111111))
         most = np.minimum((n - own)[q][:, None], (n - own)[m][None, :])
         both = n[q][:, None] + n[m][None, :]
-        may = (agree >= least_agreement(self.similar)) & ((100 + self.similar) * most >= self.similar * both)
-        may &= component[q][:, None] != component[m][None, :]
-        # two that both ask meet once
-        may &= ~other[m][None, :] | (node[q][:, None] < node[m][None, :])
+        may &= (agree >= least_agreement(similar)) & ((100 + similar) * most >= similar * both)
         x, y = np.nonzero(may)
         x, y = q[x], m[y]
-        found: list[tuple[np.ndarray, np.ndarray]] = []
+        here = np.zeros(len(x), bool)
         for low in range(0, len(x), 1 << 16):
             i, j = x[low : low + (1 << 16)], y[low : low + (1 << 16)]
             first = (buckets[i] == buckets[j]).argmax(1)
-            here = buckets[i, first] == np.uint64(self.bucket & 0xFFFFFFFFFFFFFFFF)
-            found.append((i[here], j[here]))
-        x, y = (np.concatenate(z) for z in zip(*found)) if found else (x, y)
+            here[low : low + (1 << 16)] = buckets[i, first] == np.uint64(bucket & 0xFFFFFFFFFFFFFFFF)
+        x, y = x[here], y[here]
         a, b = [], []
         for i in np.unique(x).tolist():
             others = y[x == i]
             sizes = np.array([len(grams[j]) for j in others])
             same = np.add.reduceat(np.isin(np.concatenate([grams[j] for j in others]), grams[i]), np.cumsum(sizes) - sizes)
-            hit = others[100 * same >= self.similar * (sizes + len(grams[i]) - same)]
+            hit = others[100 * same >= similar * (sizes + len(grams[i]) - same)]
             a += [node[i]] * len(hit)
             b += node[hit].tolist()
         return forest(np.array(a, np.int64), np.array(b, np.int64))
 
-
-def block_links(open_: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
-    """The links that bucket_components() wants of rest(): blocks of at most some BLOCK asking and BLOCK other nodes.
-
-    Rows of a bucket with n nodes of which f ask are copied f / BLOCK times, and the asking ones n / BLOCK times.
-    """
-    rows = open_.select("bucket", "node", "component", F.col("fact.n").alias("shingles"), F.col("fact.own").alias("own"), (F.col("component") != F.col("main")).alias("other"), F.ceil(F.col("n") / BLOCK).alias("of"), F.ceil(F.col("others") / BLOCK).alias("by")).join(sets, "node")
-    place = lambda salt, n: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("long")
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    asking = rows.where("other").select("*", F.lit(True).alias("asks"), place(1, "by").alias("i"), every("of").alias("j"))
-    asked = rows.select("*", F.lit(False).alias("asks"), every("by").alias("i"), place(2, "of").alias("j"))
-
-    def run(batches):
-        block, last = None, None
-        for batch in batches:
-            keys = np.stack([batch.column(c).to_numpy() for c in ("bucket", "i", "j")], 1)
-            edges = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, [len(keys)]]).tolist()
-            for low, high in zip(edges, edges[1:]):
-                key = tuple(keys[low].tolist()) if high > low else last
-                if key != last:
-                    if block:
-                        yield out(block)
-                    block, last = Block(key[0], similar), key
-                if high > low:
-                    block.add(batch, low, high)
-        if block:
-            yield out(block)
-
-    def out(block: Block) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in block.links()], schema=_FOUND_ARROW)
-
-    return asking.unionByName(asked).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(run, _FOUND)
+    return in_blocks(open_, [F.col("fact.n").alias("shingles"), F.col("fact.own").alias("own")], solve, sets)
 
 
 def own_shingles(sets: DataFrame) -> DataFrame:

@@ -232,15 +232,16 @@ def test_shared_buckets(spark):
         for size in (1, 30, 400):  # rows of a step
             for chosen in (None, near):
                 steps = [np.array(rows[i : i + size], np.int64).T for i in range(0, len(rows), size)] * 2
-                sent = np.concatenate([np.stack(buckets.company(*(x[:2] if chosen is None else x), near=chosen)) for x in steps], 1).T.tolist()
+                sent = np.concatenate([np.stack(buckets.company(*(x[:2] if chosen is None else x))) for x in steps], 1).T.tolist()
                 df = spark.createDataFrame(sent, "bucket long, node long, n long" if chosen is None else "bucket long, node long, sim long, n long")
-                got = {(r.bucket, r.node) for r in buckets.shared_buckets(df, chosen).collect()}
-                both = {(b, n) for b, n, _ in rows if b != 4}
+                got = buckets.shared_buckets(df, chosen).collect()
                 if chosen is None:
-                    assert got == both
-                else:
-                    assert both - {(3, 1), (3, 2)} >= got >= both - {(3, 1), (3, 2)} - {(5, n) for n in range(100)}
-                    assert got >= {(5, n) for n in range(100)} or size > 1
+                    assert {(r.bucket, r.node) for r in got} == {(b, n) for b, n, _ in rows if b != 4}
+                    continue
+                live = {(r.bucket, r.node) for r in got if r.other is None}
+                pairs = {frozenset((r.node, r.other)) for r in got if r.other is not None}
+                assert frozenset((5, 6)) in pairs and frozenset((1, 2)) not in pairs and live <= {(b, n) for b, n, _ in rows if b in (1, 5)}
+                assert live >= {(1, n) for n in range(700)} and live >= {(5, n) for n in range(100)}
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
@@ -298,7 +299,7 @@ def test_op4_filter():
 
 def test_op4_blocks(spark, monkeypatch):
     """A large group of which most members are similar to few others, in small blocks."""
-    monkeypatch.setattr(minhash, "BLOCK", 16)
+    monkeypatch.setattr(buckets, "BLOCK", 16)
     rng = np.random.default_rng(8)
     base = [f"b{x}" for x in rng.integers(0, 900, 100)]
     texts = []
