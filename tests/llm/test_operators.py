@@ -499,6 +499,14 @@ def test_op8_edits_alone(spark, rows):
         assert got[d].text == "\n".join(kept), d
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text("abcd", min_size=2, max_size=40), st.text("abcd", min_size=2, max_size=40))
+def test_op8_profiles(a, b):
+    """The counts of pairs never tell against a distance that holds."""
+    x, y = lines.profiles([a, b, "a"]).astype(int)[:2]
+    assert np.abs(x - y).sum() <= 4 * edits(a, b)
+
+
 @pytest.mark.parametrize("low, high, share", [(10, 40, 0.97), (40, 100, 0.95), (100, 200, 0.9), (200, 1300, 0.9)])
 def test_op8_recall(low, high, share):
     """How many pairs at the limit of edits, at random places, have a key in common and pass the sketches."""
