@@ -161,18 +161,11 @@ def dns_headers(spark, sf_dir):
     return streams.lone_parser(packets.decode(tables.event_packets(t(spark, sf_dir, "events")))).select("packet_no", "id", "response", "questions", "answers")
 
 
-@query("h17_http_events", "SELECT count(*)::BIGINT AS requests, count(*)::BIGINT AS responses FROM pages WHERE url IS NOT NULL AND page_id % 2 = 0")
-def http_events(spark, sf_dir):
-    keyed = packets.with_flow(packets.decode(tables.page_packets(t(spark, sf_dir, "pages").where("page_id % 2 = 0"))))
-    rows = streams.fold(keyed).where("tag = 'http'")
-    return rows.agg(F.count_if(F.col("kind") == "http_request").alias("requests"), F.count_if(F.col("kind") == "http_response").alias("responses"))
-
-
 @query(
-    "h17_http_events_all",
+    "h17_http_events",
     "SELECT CASE WHEN page_id % 2 = 1 THEN 'chunked' ELSE 'content-length' END AS framing, count(*)::BIGINT AS requests, count(*)::BIGINT AS responses FROM pages WHERE url IS NOT NULL GROUP BY 1",
 )
-def http_events_all(spark, sf_dir):
+def http_events(spark, sf_dir):
     """Of all pages; a reply's framing follows from its page."""
     keyed = packets.with_flow(packets.decode(tables.page_packets(t(spark, sf_dir, "pages"))))
     clients = keyed.select("stream_id_hex", _client().alias("page_id")).distinct()
@@ -231,27 +224,17 @@ def stream_primary(spark, sf_dir):
     return stream_view(spark, sf_dir).select(views.primary_profile(list(views.BUILTIN)).alias("profile")).groupBy("profile").agg(F.count("*").alias("streams"))
 
 
-@query("t2_url_decode")
+@query("t2_url_decode", "SELECT page_id, CASE WHEN url_decode(url) = url THEN 'noop' ELSE 'applied' END AS status, CASE WHEN url_decode(url) = url THEN '' ELSE url_decode(url) END AS url FROM pages")
 def transform_urls(spark, sf_dir):
     rows = t(spark, sf_dir, "pages").select("page_id", F.encode("url", "UTF-8").alias("data"))
     return transforms.transform(rows, "url").select("page_id", "transformed.status", F.decode("transformed.data", "UTF-8").alias("url"))
 
 
-@query("t5_dechunk", "SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS body_bytes FROM pages WHERE url IS NOT NULL AND page_id % 2 = 1")
-def transform_chunked(spark, sf_dir):
-    keyed = packets.with_flow(packets.decode(tables.page_packets(t(spark, sf_dir, "pages").where("page_id % 2 = 1"))))
-    clients = keyed.select("stream_id_hex", _client().alias("page_id")).distinct()
-    replies = content.read(content.ranges(streams.fold(keyed).where("tag = 'chunk' AND direction = 'b_to_a'"))).join(clients, "stream_id_hex")
-    done = transforms.transform(replies, "chain:chunked").select("page_id", F.col("transformed.data").alias("data"))
-    head = F.length(F.substring_index(native.latin1("data"), "\r\n\r\n", 1)) + 4
-    return done.select("page_id", (F.length("data") - head).cast("long").alias("body_bytes"))
-
-
 @query(
-    "t5_dechunk_all",
+    "t5_dechunk",
     "SELECT page_id, CASE WHEN page_id % 2 = 1 THEN 'applied' ELSE 'noop' END AS status, octet_length(encode(coalesce(html, '')))::BIGINT AS body_bytes FROM pages WHERE url IS NOT NULL",
 )
-def transform_replies(spark, sf_dir):
+def transform_chunked(spark, sf_dir):
     """Of all pages: chunked replies are joined, those with Content-Length stay as they are."""
     keyed = packets.with_flow(packets.decode(tables.page_packets(t(spark, sf_dir, "pages"))))
     clients = keyed.select("stream_id_hex", _client().alias("page_id")).distinct()
@@ -412,19 +395,10 @@ def stream_page(spark, sf_dir):
 
 @query(
     "q2_q3_message_page",
-    """WITH m AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS offset_, count(*) OVER () AS total FROM events WHERE user_id = 3 AND event_type = 'click')
-    SELECT event_id, total::BIGINT AS total FROM m WHERE offset_ >= 5 AND offset_ < 15""",
-)
-def message_page(spark, sf_dir):
-    return views.message_page(t(spark, sf_dir, "events").where("user_id = 3"), "event_id", 5, 10, event_type="click").select("event_id", "total")
-
-
-@query(
-    "q2_q3_message_page_all",
     """WITH m AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS offset_, count(*) OVER (PARTITION BY user_id) AS total FROM events WHERE event_type = 'click')
     SELECT event_id, user_id, total::BIGINT AS total FROM m WHERE offset_ >= 5 AND offset_ < 15""",
 )
-def message_pages(spark, sf_dir):
+def message_page(spark, sf_dir):
     """The page of every user's stream."""
     return views.message_page(t(spark, sf_dir, "events"), "event_id", 5, 10, each="user_id", event_type="click").select("event_id", "user_id", "total")
 
@@ -439,18 +413,12 @@ def literal_hits(spark, sf_dir):
     return patterns.literal_hits(t(spark, sf_dir, "documents"), "doc_id", "text", "sh").select("doc_id", F.col("at").cast("long").alias("at"))
 
 
-@query("l3_safe_text", "SELECT conv_id, turn, regexp_replace(text, '[^\\n\\r\\t\\x20-\\x7e]', '.', 'g') AS text, regexp_matches(text, '[^\\n\\r\\t\\x20-\\x7e]') AS lossy FROM conversations WHERE octet_length(encode(text)) = length(text)")
-def safe_text(spark, sf_dir):
-    rows = t(spark, sf_dir, "conversations").where("octet_length(text) = length(text)").select("conv_id", "turn", F.encode("text", "UTF-8").alias("data"))
-    return content.text_view(rows).select("conv_id", "turn", "text", "lossy")
-
-
 @query(
-    "l3_safe_text_all",
+    "l3_safe_text",
     """SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[\\x{10000}-\\x{10ffff}]', '....', 'g'), '[\\x{800}-\\x{ffff}]', '...', 'g'),
     '[\\x{80}-\\x{7ff}]', '..', 'g'), '[^\\n\\r\\t\\x20-\\x7e]', '.', 'g') AS text, regexp_matches(text, '[^\\n\\r\\t\\x20-\\x7e]') AS lossy FROM conversations""",
 )
-def safe_text_all(spark, sf_dir):
+def safe_text(spark, sf_dir):
     """Of all turns: a character outside ASCII becomes as many dots as it has UTF-8 bytes."""
     rows = t(spark, sf_dir, "conversations").select("conv_id", "turn", F.encode("text", "UTF-8").alias("data"))
     return content.text_view(rows).select("conv_id", "turn", "text", "lossy")
