@@ -218,7 +218,7 @@ def components_of(nodes, links):
 @given(st.lists(st.tuples(st.integers(0, 25), st.integers(0, 25)), min_size=1, max_size=40))
 def test_components(spark, links):
     want = components_of({x for e in links for x in e}, links)
-    for chunk in (1, 3, 1000):
+    for chunk in (1, 1000):
         got = {r.node: r.component for r in graph.components(spark.createDataFrame(links, "a long, b long").repartition(3), chunk=chunk).collect()}
         assert got == {n: c for n, c in want.items() if any(n in e and e[0] != e[1] for e in links)}
 
