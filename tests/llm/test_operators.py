@@ -13,6 +13,7 @@ from hypothesis import strategies as st
 
 import public_tokenizers
 from capstride.llm import balltree, buckets, common, counts, graph, huffman, langid, lines, minhash, mixing, packing, quality, substrings
+from capstride.llm import edits as within
 from capstride.llm.tokens import ChunkEncoder
 
 SF = "/root/testdata/sf0.001"
@@ -507,6 +508,34 @@ def test_op8_profiles(a, b):
     assert np.abs(x - y).sum() <= 4 * edits(a, b)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text("abé", max_size=30), st.text("abé", max_size=30), st.lists(st.tuples(st.integers(0, 40), st.sampled_from(["", "a", "zz"])), max_size=6))
+def test_op8_within(a, b, changes):
+    """Each way to a distance agrees with the plain table, and counts never tell against what holds."""
+    changed = a
+    for at, by in changes:
+        changed = changed[:at] + by + changed[at + 1 :]
+    for x, y in ((a, b), (a, changed), (changed, a), ("", b)):
+        apart = edits(x, y)
+        for most in (0, 1, 3, apart - 1, apart, apart + 1):
+            if most >= 0:
+                assert within.within(x, y, most) == within.by_diagonals(x, y, most) == (apart <= most)
+                assert not x or not y or within.by_columns(x, y, most) == (apart <= most)
+        assert within.may_be_within([x, a], [y, a], np.array([apart, 0])).all()
+
+
+def test_op8_within_long():
+    """Long texts, counted in bins of their own."""
+    rng = np.random.default_rng(5)
+    a = "".join(map(chr, rng.integers(97, 123, 3000)))
+    b = list(a)
+    for i in rng.choice(3000, 120, replace=False).tolist():
+        b[i] = "é"
+    b = "".join(b)
+    assert within.within(a, b, 120) and not within.within(a, b, 119)
+    assert within.may_be_within([a, a], [b, a[::-1]], np.array([120, 300])).tolist() == [True, False]
+
+
 @pytest.mark.parametrize("low, high, share", [(10, 40, 0.97), (40, 100, 0.95), (100, 200, 0.9), (200, 1300, 0.9)])
 def test_op8_recall(low, high, share):
     """How many pairs at the limit of edits, at random places, have a key in common and pass the sketches."""
