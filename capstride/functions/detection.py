@@ -172,18 +172,42 @@ def by_payload(protocol: str, a_port: int, b_port: int, from_a: bool, b: bytes)
     return merge(port, Evidence(service, side, confidence, "payload", evidence))
 
 
+SAMPLE = 4096
+_SPACE, _PRINTABLE = b" \t\r\n", bytes([*range(33, 127), *range(128, 256)])
+
+
+@dataclass
+class Classes:
+    """Classes of a direction's first SAMPLE bytes, counted as they come; bytes from 0x80 on count as printable."""
+
+    size: int = 0
+    nulls: int = 0
+    space: int = 0
+    printable: int = 0
+
+    def add(self, data: bytes) -> None:
+        if self.size >= SAMPLE or not data:
+            return
+        data = data[: SAMPLE - self.size]
+        self.size += len(data)
+        self.nulls += data.count(0)
+        self.space += len(data) - len(data.translate(None, _SPACE))
+        self.printable += len(data) - len(data.translate(None, _PRINTABLE))
+
+    def kind(self) -> str:
+        """unknown, binary, text or mixed."""
+        if not self.size:
+            return "unknown"
+        control = self.size - self.nulls - self.space - self.printable
+        if self.nulls or control * 100 // self.size > 5:
+            return "binary"
+        return "text" if (self.space + self.printable) * 100 // self.size >= 90 else "mixed"
+
+
 def content_kind(sample: bytes) -> str:
-    """unknown, binary, text or mixed, by the classes of up to 4096 bytes; bytes from 0x80 on count as printable."""
-    sample = sample[:4096]
-    n = len(sample)
-    if not n:
-        return "unknown"
-    space = sum(sample.count(c) for c in b" \t\r\n")
-    control = sum(c < 32 or c == 127 for c in sample) - sum(sample.count(c) for c in b"\t\r\n") - sample.count(0)
-    if sample.count(0) or control * 100 // n > 5:
-        return "binary"
-    printable = sum(33 <= c <= 126 or c >= 128 for c in sample)
-    return "text" if (space + printable) * 100 // n >= 90 else "mixed"
+    classes = Classes()
+    classes.add(sample)
+    return classes.kind()
 
 
 def combine_kinds(a: str, b: str) -> str:

@@ -43,10 +43,7 @@ def trim(content: DataFrame, most: int = STREAM_BYTES) -> DataFrame:
 
 def read(content: DataFrame, by: tuple = WAY) -> DataFrame:
     """The stored bytes of each stream and direction."""
-    parts = F.sort_array(F.collect_list(F.struct("start", "data")))
-    return content.groupBy(*by).agg(F.min("start").alias("start"), F.max("end").alias("end"), parts.alias("__p")).withColumn(
-        "data", F.aggregate("__p", F.lit(b"").cast("binary"), lambda acc, x: F.concat(acc, x["data"]))
-    ).drop("__p")
+    return content.groupBy(*by).agg(F.min("start").alias("start"), F.max("end").alias("end"), F.expr("listagg(data) WITHIN GROUP (ORDER BY start)").alias("data"))
 
 
 def windows(content: DataFrame, start: int, end: int, by: tuple = WAY) -> DataFrame:
@@ -67,6 +64,18 @@ def counters(content: DataFrame) -> DataFrame:
     )
 
 
+def content_counters(chunks: DataFrame, stored: DataFrame) -> DataFrame:
+    """counters() of what is stored beside what was seen: updates, observed and dropped bytes, streams cut or gone."""
+    size = lambda rows, name: rows.groupBy("stream_id_hex").agg(F.sum(F.length("data").cast("long")).alias(name), F.count("*").alias(f"{name}_rows"))
+    rows = size(chunks, "seen").join(size(stored, "held"), "stream_id_hex", "left")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    held = F.coalesce("held", F.lit(0))
+    return rows.agg(
+        F.count("held").alias("active"), total("held_rows").alias("segments"), total("held").alias("stored_bytes"), total("seen").alias("observed_bytes"), total("seen_rows").alias("updates"),
+        total(F.col("seen") - held).alias("dropped_bytes"), F.count_if(F.col("held") < F.col("seen")).alias("truncated"), F.count_if(F.col("held").isNull()).alias("evicted"),
+    )
+
+
 def previews(content: DataFrame, size: int = 256) -> DataFrame:
     """The first bytes of each stream and direction, in Base64 and as escaped text, with class counts and kind."""
     head = read(content.where(F.col("start") < 4096))
@@ -83,15 +92,40 @@ def slice_of(content: DataFrame, stream: str, direction: str, start: int = 0, si
     return windows(here, start, start + min(size, SLICE_BYTES))
 
 
-def highlights(segments: DataFrame, matches: DataFrame, most: int = HIGHLIGHTS) -> DataFrame:
-    """Parts of matches (pattern_id, start, end) inside segments, the first `most` of each stream and direction."""
-    s, m = segments.alias("s"), matches.alias("m")
-    over = (F.col("s.stream_id_hex") == F.col("m.stream_id_hex")) & (F.col("s.direction") == F.col("m.direction")) & (F.col("m.start") < F.col("s.end")) & (F.col("m.end") > F.col("s.start"))
+def slice_error(content: DataFrame, streams: DataFrame, stream: str, size: int = SLICE_BYTES) -> str | None:
+    """Why slice_of() has nothing to give: empty_request, unknown_stream, no_content or None; a stream lookup each."""
+    if size <= 0:
+        return "empty_request"
+    here = F.col("stream_id_hex") == stream
+    if streams.where(here).isEmpty():
+        return "unknown_stream"
+    return "no_content" if content.where(here).isEmpty() else None
+
+
+def _highlights(segments: DataFrame, matches: DataFrame) -> DataFrame:
+    """Ranked parts of matches inside segments; both sides meet in the spans of SEGMENT_BYTES that they touch."""
+    touched = lambda low, high: F.explode(F.sequence(F.floor(low / SEGMENT_BYTES), F.floor((high - 1) / SEGMENT_BYTES)))
+    some = [x.where(F.col("end") > F.col("start")).withColumn("span", touched(F.col("start"), F.col("end"))) for x in (segments, matches)]
+    s, m = some[0].alias("s"), some[1].alias("m")
+    over = (F.col("m.start") < F.col("s.end")) & (F.col("m.end") > F.col("s.start")) & (F.col("s.span") == F.floor(F.greatest("s.start", "m.start") / SEGMENT_BYTES))
+    for c in (*WAY, "span"):
+        over &= F.col(f"s.{c}") == F.col(f"m.{c}")
     rows = s.join(m, over).select(
         "s.stream_id_hex", "s.direction", "m.pattern_id", F.greatest("s.start", "m.start").alias("start"), F.least("s.end", "m.end").alias("end"), F.col("s.start").alias("segment_start")
     )
     rank = F.row_number().over(Window.partitionBy(*WAY).orderBy("start", "end", "segment_start", "pattern_id"))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= most)
+    return rows.withColumn("rank", rank)
+
+
+def highlights(segments: DataFrame, matches: DataFrame, most: int = HIGHLIGHTS) -> DataFrame:
+    """Parts of matches (pattern_id, start, end) inside segments, the first `most` of each stream and direction."""
+    return _highlights(segments, matches).where(F.col("rank") <= most)
+
+
+def highlight_counts(segments: DataFrame, matches: DataFrame, most: int = HIGHLIGHTS) -> DataFrame:
+    """Parts that highlights() keeps and drops, for each stream and direction that has any."""
+    kept = F.count_if(F.col("rank") <= most)
+    return _highlights(segments, matches).groupBy(*WAY).agg(kept.alias("kept"), (F.count("*") - kept).alias("dropped"))
 
 
 def text_view(rows: DataFrame, data: str = "data") -> DataFrame:

@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PER_STREAM, TOTAL, LOOKBACK = 1024, 1_000_000, 4096
+PER_STREAM, TOTAL, LOOKBACK, SPAN = 1024, 1_000_000, 4096, 65_536
 
 
 @dataclass(frozen=True)
@@ -43,18 +44,39 @@ def compile_patterns(substrings=(), regexes=(), binaries=()) -> list[Pattern]:
     return out
 
 
+class Matcher:
+    """Compiled patterns: one automaton over the bytes of all literals, and expressions one by one."""
+
+    def __init__(self, patterns: list[Pattern]):
+        self.expressions = [(p.id, re.compile(p.raw)) for p in patterns if p.kind == "regex"]
+        ids: dict[bytes, list[str]] = {}
+        for p in patterns:
+            if p.kind != "regex":
+                ids.setdefault(p.raw, []).append(p.id)
+        self.longest = max(map(len, ids), default=0)
+        self.automaton = None
+        if ids:
+            self.automaton = ahocorasick.Automaton()
+            for raw, names in ids.items():
+                self.automaton.add_word(raw.decode("latin-1"), (len(raw), names))
+            self.automaton.make_automaton()
+
+    def find(self, data: bytes, new_from: int = 0) -> set[tuple[str, int, int]]:
+        """Matches that overlap data[new_from:]: literals overlap each other, expressions are leftmost-first."""
+        out = set()
+        for name, expression in self.expressions:
+            out |= {(name, *m.span()) for m in expression.finditer(data) if m.end() > max(new_from, m.start())}
+        if self.automaton:
+            low = max(0, new_from - self.longest + 1)
+            for last, (size, names) in self.automaton.iter(data[low:].decode("latin-1")):
+                end = low + last + 1
+                if end > new_from:
+                    out |= {(name, end - size, end) for name in names}
+        return out
+
+
 def find(patterns: list[Pattern], data: bytes, new_from: int = 0) -> set[tuple[str, int, int]]:
-    """Matches that overlap data[new_from:]: literals overlap each other, expressions are leftmost-first."""
-    out = set()
-    for p in patterns:
-        if p.kind == "regex":
-            out |= {(p.id, *m.span()) for m in re.finditer(p.raw, data) if m.end() > max(new_from, m.start())}
-            continue
-        at = data.find(p.raw, max(0, new_from - len(p.raw) + 1))
-        while at >= 0:
-            out.add((p.id, at, at + len(p.raw)))
-            at = data.find(p.raw, at + 1)
-    return out
+    return Matcher(patterns).find(data, new_from)
 
 
 _SCHEMA = pa.schema([(n, pa.string()) for n in ("stream_id_hex", "direction", "pattern_id")] + [(n, pa.int64()) for n in ("packet_no", "event_no", "start", "end")] + [("data", pa.binary())])
@@ -66,7 +88,7 @@ def scan(chunks: DataFrame, patterns: list[Pattern], lookback: int = LOOKBACK) -
     back = max([lookback, *(len(p.raw) - 1 for p in patterns)])
 
     def run(batches):
-        key, tail, at = None, b"", 0
+        key, tail, at, matcher = None, b"", 0, Matcher(patterns)
         for b in batches:
             rows = []
             for r in b.to_pylist():
@@ -74,7 +96,7 @@ def scan(chunks: DataFrame, patterns: list[Pattern], lookback: int = LOOKBACK) -
                     key, tail, at = (r["stream_id_hex"], r["direction"]), b"", 0
                 data = tail + r["data"]
                 base = at - len(tail)
-                for pid, low, high in sorted(find(patterns, data, len(tail)), key=lambda m: (m[1], m[2], m[0])):
+                for pid, low, high in sorted(matcher.find(data, len(tail)), key=lambda m: (m[1], m[2], m[0])):
                     rows.append((*key, pid, r["packet_no"], r["event_no"], base + low, base + high, data[low:high]))
                 at += len(r["data"])
                 tail = data[-back:] if back else b""
@@ -84,10 +106,22 @@ def scan(chunks: DataFrame, patterns: list[Pattern], lookback: int = LOOKBACK) -
     return rows.sortWithinPartitions("stream_id_hex", "direction", "packet_no", "event_no").mapInArrow(run, MATCHES)
 
 
-def capped(matches: DataFrame, per_stream: int = PER_STREAM) -> DataFrame:
-    """The first `per_stream` matches of each stream stay; `stored` is false for the rest."""
-    order = Window.partitionBy("stream_id_hex").orderBy("packet_no", "event_no", "start", "end", "pattern_id")
-    return matches.withColumn("stored", F.row_number().over(order) <= per_stream)
+def capped(matches: DataFrame, per_stream: int = PER_STREAM, total: int | None = TOTAL) -> DataFrame:
+    """The first `per_stream` matches of each stream and, of these, the first `total` of the run (None: all) have `stored`.
+
+    The run's order is that of packets.  Only counts of SPAN packets at a time meet in one task.
+    """
+    order = ["packet_no", "event_no", "start", "end", "pattern_id"]
+    rows = matches.withColumn("stored", F.row_number().over(Window.partitionBy("stream_id_hex").orderBy(*order)) <= per_stream)
+    if total is None:
+        return rows
+    rows = rows.withColumn("__span", F.floor(F.col("packet_no") / SPAN))
+    counts = rows.where("stored").groupBy("__span").agg(F.count("*").alias("__n"))
+    before = counts.select("__span", (F.sum("__n").over(Window.orderBy("__span")) - F.col("__n")).alias("__before"))
+    # a span's stored rows come first, so that their ranks count them alone
+    rank = F.row_number().over(Window.partitionBy("__span").orderBy(F.desc("stored"), *order, "stream_id_hex", "direction"))
+    ranked = rows.withColumn("__rank", rank).join(before, "__span", "left")
+    return ranked.withColumn("stored", F.col("stored") & (F.col("__before") + F.col("__rank") <= total)).drop("__span", "__rank", "__before")
 
 
 def match_events(matches: DataFrame) -> DataFrame:

@@ -94,6 +94,8 @@ def parser_counters(rows: DataFrame) -> DataFrame:
         F.count_if(F.col("tag") == "chunk").alias("chunks"), F.coalesce(F.sum(F.when(F.col("tag") == "chunk", F.col("size"))), F.lit(0)).alias("chunk_bytes"),
         F.count_if(message).alias("messages"), *[F.count_if(message & (F.col("protocol") == p)).alias(p) for p in ("http1", "dns", "websocket", "tls")],
         F.count_if(message & (F.col("kind") == "parse_error")).alias("parse_errors"), F.count_if(F.col("tag") == "stream").alias("stream_events"),
+        F.coalesce(F.sum(F.when(F.col("tag") == "dropped", F.col("size"))), F.lit(0)).alias("dropped"),
+        *[F.count_if(message & (F.col("kind") == "parse_error") & (F.col("protocol") == p)).alias(f"{p}_errors") for p in ("http1", "dns", "websocket", "tls")],
     )
 
 

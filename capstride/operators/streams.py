@@ -1,7 +1,8 @@
 """One ordered pass over each flow: reassembly, inventory events, detection, protocol messages.
 
 The fold runs once for a flow with rows sorted by packet_no; only what needs state from packet to packet is in it.
-Its rows carry a `tag`: observation, chunk, stream, message or http.  A flow's rows come in batches, so that state, not
+Its rows carry a `tag`: observation, chunk, stream, message, dropped (its size: messages beyond MESSAGES_PER_CHUNK of a
+chunk) or http.  A flow's rows come in batches, so that state, not
 rows, bounds its memory.
 """
 
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import detection, parsers, wire
-from ..functions.reassembly import MAX_BYTES, MAX_SEGMENTS, Direction, step
+from ..functions.reassembly import MAX_BYTES, MAX_SEGMENTS, Direction, Step, step
 
 ROWS = (
     "stream_id_hex string, packet_no long, event_no long, tag string, direction string, status string, protocol string, kind string, service string, side string,"
@@ -25,7 +26,7 @@ ROWS = (
 _NAMES = [x.split()[0] for x in ROWS.split(", ")]
 _ARROW = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
 SCHEMA = pa.schema([(x.split()[0], _ARROW[x.split()[1]]) for x in ROWS.split(", ")])
-UPDATE_PACKETS, UPDATE_BYTES, SAMPLE, MESSAGES_PER_CHUNK = 64, 64 << 10, 4096, 512
+UPDATE_PACKETS, UPDATE_BYTES, MESSAGES_PER_CHUNK = 64, 64 << 10, 512
 #: What the fold needs of a keyed row.
 INPUT = ("stream_id_hex", "packet_no", "ts_us", "protocol", "direction", "seq", "flags", "payload", "a_port", "b_port")
 DNS_SERVICES = ("dns", "mdns", "llmnr", "netbios")
@@ -47,7 +48,7 @@ class Flow:
     seen: detection.Evidence | None = None
     lifecycle: str = "open"
     fins: set = field(default_factory=set)
-    samples: dict = field(default_factory=lambda: {False: b"", True: b""})
+    classes: dict = field(default_factory=lambda: {False: detection.Classes(), True: detection.Classes()})
     logical: dict = field(default_factory=lambda: {False: 0, True: 0})
     parsers: parsers.FlowParsers = field(default_factory=parsers.FlowParsers)
     http: dict = field(default_factory=lambda: {False: parsers.HttpEvents(), True: parsers.HttpEvents()})
@@ -62,16 +63,23 @@ class Flow:
         return {"stream_id_hex": self.stream, "packet_no": no, "event_no": self.events, "tag": tag, "direction": "b_to_a" if back else "a_to_b", **more}
 
     def kind(self) -> str:
-        both = detection.combine_kinds(*(detection.content_kind(self.samples[w]) for w in (False, True)))
+        both = detection.combine_kinds(self.classes[False].kind(), self.classes[True].kind())
         return detection.adjust_kind(both, self.seen.service)
 
+    @staticmethod
+    def facts(did: Step, way: Direction) -> str:
+        """A step's marks and its direction's state after it, as JSON."""
+        tell = lambda x: "null" if x is None else x
+        marks = f'"gap": {str(did.gap).lower()}, "mid_stream": {str(did.mid_stream).lower()}, "waiting": {len(way.waiting)}, "waiting_bytes": {way.waiting_bytes}'
+        return f'{{{marks}, "expected": {tell(way.expected)}, "initial": {tell(way.initial)}, "highest": {tell(way.highest)}}}'
+
     def push(self, no: int, back: bool, seq: int | None, flags: int | None, payload: bytes) -> Iterator[dict]:
         """The rows of one packet, in the order: observation, stream event, datagram message, then chunks with theirs."""
         payload = payload or b""
         if self.protocol == "tcp":
             did = step(self.ways[back], self.ways[not back].waiting_bytes, seq, flags, payload, self.max_segments, self.max_bytes)
             chunks, status = did.chunks, did.status
-            yield self.row("observation", no, back, status=status, seq=seq, size=len(payload), fields=json.dumps({"gap": did.gap, "mid_stream": did.mid_stream, "waiting": len(self.ways[back].waiting)}))
+            yield self.row("observation", no, back, status=status, seq=seq, size=len(payload), fields=self.facts(did, self.ways[back]))
             if status in ("fin", "reset"):
                 self.fins |= {True, False} if status == "reset" else {back}
                 self.lifecycle = "closed" if len(self.fins) == 2 else "closing"
@@ -81,7 +89,7 @@ class Flow:
         first = self.seen is None
         self.seen = self.seen or detection.by_port(self.protocol, self.a_port, self.b_port)
         for _, data, _ in chunks:
-            self.samples[back] = (self.samples[back] + data[: SAMPLE - len(self.samples[back])]) if len(self.samples[back]) < SAMPLE else self.samples[back]
+            self.classes[back].add(data)
             found = detection.by_payload(self.protocol, self.a_port, self.b_port, not back, data)
             if found:
                 self.seen = detection.merge(self.seen, found)
@@ -108,8 +116,11 @@ class Flow:
             yield self.row("chunk", no, back, seq=place, source=source, start=self.logical[back], size=len(data), data=data)
             self.logical[back] += len(data)
             if self.protocol == "tcp":
-                for m in self.parsers.push(back, data, detection.is_tls_record(data))[:MESSAGES_PER_CHUNK]:
+                found = self.parsers.push(back, data, detection.is_tls_record(data))
+                for m in found[:MESSAGES_PER_CHUNK]:
                     yield self.message(no, back, m)
+                if len(found) > MESSAGES_PER_CHUNK:
+                    yield self.row("dropped", no, back, size=len(found) - MESSAGES_PER_CHUNK)
                 for e in self.http[back].push(data):
                     yield self.row("http", no, back, kind=e["event_type"], summary=e["summary"], size=e["body_bytes_expected"], fields=json.dumps(e))
 
@@ -151,11 +162,40 @@ def flow_counters(observations: DataFrame) -> DataFrame:
     names = ("init", "in_order", "gap_filled", "fin", "overlap", "retransmission", "out_of_order_buffered", "out_of_order_dropped", "reset", "no_sequence")
     gap = F.get_json_object("fields", "$.gap") == "true"
     return observations.groupBy("stream_id_hex").agg(
+        F.count("*").alias("segments"), F.sum("size").alias("payload_bytes"), F.sum(F.when(F.col("status") == "retransmission", F.col("size")).otherwise(0)).alias("retransmitted_bytes"),
+        F.sum(F.when(F.col("status") == "out_of_order_dropped", F.col("size")).otherwise(0)).alias("dropped_bytes"), F.max(F.get_json_object("fields", "$.waiting_bytes").cast("long")).alias("peak_waiting_bytes"),
         *[F.count_if(F.col("status") == n).alias(n) for n in names], F.count_if(gap).alias("gaps"), F.count_if(F.get_json_object("fields", "$.mid_stream") == "true").alias("mid_stream_starts"),
         F.max(F.get_json_object("fields", "$.waiting").cast("long")).alias("peak_waiting"),
     )
 
 
+def chunk_counters(chunks: DataFrame) -> DataFrame:
+    """Chunks and bytes of each flow, whole and by what made them: current, buffered and overlap_trimmed."""
+    made = lambda s: F.col("source") == s
+    sources = ("current", "buffered", "overlap_trimmed")
+    return chunks.groupBy("stream_id_hex").agg(
+        F.count("*").alias("chunks"), F.sum("size").alias("stream_bytes"), *[F.count_if(made(s)).alias(f"{s}_chunks") for s in sources],
+        *[F.sum(F.when(made(s), F.col("size")).otherwise(0)).alias(f"{s}_bytes") for s in sources],
+    )
+
+
+def direction_states(observations: DataFrame) -> DataFrame:
+    """Each TCP direction after its last segment: next, initial and highest sequence, and what waits."""
+    last = observations.groupBy("stream_id_hex", "direction").agg(F.max_by("fields", F.struct("packet_no", "event_no")).alias("f"))
+    names = {"next_seq": "expected", "initial_seq": "initial", "highest_seq": "highest", "waiting": "waiting", "waiting_bytes": "waiting_bytes"}
+    return last.select("stream_id_hex", "direction", *[F.get_json_object("f", f"$.{path}").cast("long").alias(n) for n, path in names.items()])
+
+
+def inventory_counters(rows: DataFrame) -> DataFrame:
+    """Streams created, closed and active, and events told, of the fold's tagged rows."""
+    told = rows.where("tag = 'stream'").groupBy("stream_id_hex").agg(
+        F.max_by("status", F.struct("packet_no", "event_no")).alias("status"), F.count("*").alias("events"), F.count_if(F.col("kind") == "stream_open").alias("opened")
+    )
+    count = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias
+    closed = F.count_if(F.col("status") == "closed")
+    return told.agg(count("opened")("created"), closed.alias("closed"), (F.count("*") - closed).alias("active"), count("events")("events"))
+
+
 def lone_parser(datagrams: DataFrame) -> DataFrame:
     """The DNS event analyzer, natively: header fields of UDP payloads of 12 bytes or more on port 53."""
     from ..functions.native import number

@@ -174,6 +174,110 @@ def http_events(spark, sf_dir):
     return rows.groupBy(framing).agg(F.count_if(F.col("kind") == "http_request").alias("requests"), F.count_if(F.col("kind") == "http_response").alias("responses"))
 
 
+@query(
+    "f8_r1_flow_counters",
+    f"""WITH s AS (SELECT conv_id, role = 'assistant' AS back, octet_length(encode(text)) AS n FROM conversations WHERE conv_id IS NOT NULL AND text IS NOT NULL),
+    d AS (SELECT *, greatest(1, ceil(n / {tables.SEGMENT}))::BIGINT AS parts FROM s),
+    t AS (SELECT conv_id, sum(parts) AS segments, sum(n) AS payload_bytes, count_if(parts > 2) AS swapped, count_if(n = 0) AS no_sequence, count(DISTINCT coalesce(back, false)) FILTER (n > 0) AS init,
+        count_if(parts > 2) AS buffered FROM d GROUP BY 1)
+    SELECT conv_id AS client, segments::BIGINT AS segments, payload_bytes::BIGINT AS payload_bytes, init::BIGINT AS init, init::BIGINT AS mid_stream_starts, swapped::BIGINT AS gap_filled,
+    buffered::BIGINT AS out_of_order_buffered, buffered::BIGINT AS gaps, no_sequence::BIGINT AS no_sequence, (segments - init - swapped - buffered - no_sequence)::BIGINT AS in_order,
+    0::BIGINT AS retransmission, 0::BIGINT AS overlap, 0::BIGINT AS out_of_order_dropped, least(swapped, 1)::BIGINT AS peak_waiting FROM t""",
+)
+def flow_counters(spark, sf_dir):
+    """The second and third segment of a turn are swapped: one is buffered, the other fills the gap."""
+    keyed = conversation_flows(spark, sf_dir)
+    clients = keyed.select("stream_id_hex", _client().alias("client")).distinct()
+    counters = streams.flow_counters(streams.fold(keyed).where("tag = 'observation'")).join(clients, "stream_id_hex")
+    return counters.select(
+        "client", "segments", "payload_bytes", "init", "mid_stream_starts", "gap_filled", "out_of_order_buffered", "gaps", "no_sequence", "in_order", "retransmission", "overlap", "out_of_order_dropped", "peak_waiting"
+    )
+
+
+@query(
+    "r7_direction_state",
+    """SELECT conv_id AS client, CASE WHEN role = 'assistant' THEN 'b_to_a' ELSE 'a_to_b' END AS direction, (1 + sum(octet_length(encode(text))))::BIGINT AS next_seq, 1::BIGINT AS initial_seq,
+    (1 + sum(octet_length(encode(text))))::BIGINT AS highest_seq, 0::BIGINT AS waiting, 0::BIGINT AS waiting_bytes
+    FROM conversations WHERE conv_id IS NOT NULL AND text IS NOT NULL GROUP BY 1, 2 HAVING sum(octet_length(encode(text))) > 0""",
+)
+def direction_state(spark, sf_dir):
+    keyed = conversation_flows(spark, sf_dir)
+    clients = keyed.select("stream_id_hex", _client().alias("client")).distinct()
+    rows = streams.direction_states(streams.fold(keyed).where("tag = 'observation'")).where("next_seq is not null")
+    return rows.join(clients, "stream_id_hex").drop("stream_id_hex")
+
+
+@query(
+    "r6_chunk_counters",
+    f"""WITH d AS (SELECT conv_id, octet_length(encode(text)) AS n FROM conversations WHERE conv_id IS NOT NULL AND text IS NOT NULL)
+    SELECT conv_id AS client, sum(ceil(n / {tables.SEGMENT}))::BIGINT AS chunks, sum(n)::BIGINT AS stream_bytes, count_if(n > 2 * {tables.SEGMENT})::BIGINT AS buffered_chunks,
+    sum(CASE WHEN n > 2 * {tables.SEGMENT} THEN least({tables.SEGMENT}, n - 2 * {tables.SEGMENT}) ELSE 0 END)::BIGINT AS buffered_bytes FROM d GROUP BY 1 HAVING sum(n) > 0""",
+)
+def chunk_counters(spark, sf_dir):
+    """Of each turn's segments, the third waits until the second comes."""
+    keyed = conversation_flows(spark, sf_dir)
+    clients = keyed.select("stream_id_hex", _client().alias("client")).distinct()
+    rows = streams.chunk_counters(streams.fold(keyed).where("tag = 'chunk'")).join(clients, "stream_id_hex")
+    return rows.select("client", "chunks", "stream_bytes", "buffered_chunks", "buffered_bytes")
+
+
+@query(
+    "i13_inventory_counters",
+    "SELECT count(DISTINCT conv_id)::BIGINT AS created, 0::BIGINT AS closed, count(DISTINCT conv_id)::BIGINT AS active FROM conversations WHERE conv_id IS NOT NULL AND text IS NOT NULL",
+)
+def inventory(spark, sf_dir):
+    return streams.inventory_counters(streams.fold(conversation_flows(spark, sf_dir))).select("created", "closed", "active")
+
+
+def _document_chunks(spark, sf_dir) -> DataFrame:
+    rows = t(spark, sf_dir, "documents").where("text IS NOT NULL")
+    return rows.select(F.col("doc_id").alias("stream_id_hex"), F.lit("a_to_b").alias("direction"), F.lit(0).alias("packet_no"), F.lit(0).alias("event_no"), F.encode("text", "UTF-8").alias("data"))
+
+
+@query(
+    "c9_content_counters",
+    """WITH d AS (SELECT doc_id, octet_length(encode(text)) AS n FROM documents WHERE length(text) > 0)
+    SELECT count(*)::BIGINT AS active, count(*)::BIGINT AS updates, sum(least(n, 2000))::BIGINT AS stored_bytes, sum(n)::BIGINT AS observed_bytes, sum(greatest(n - 2000, 0))::BIGINT AS dropped_bytes,
+    count_if(n > 2000)::BIGINT AS truncated, 0::BIGINT AS evicted, sum(ceil(n / 512) - CASE WHEN n > 2000 THEN floor((n - 2000) / 512) ELSE 0 END)::BIGINT AS segments FROM d""",
+)
+def content_counts(spark, sf_dir):
+    """Segments of 512 bytes, of which each stream keeps the newest 2,000 bytes."""
+    chunks = _document_chunks(spark, sf_dir).where(F.length("data") > 0)
+    cut = content.split(content.ranges(chunks), 512).withColumn("event_no", F.col("start"))
+    return content.content_counters(chunks, content.trim(cut, 2000))
+
+
+@query(
+    "l2_highlight_counts",
+    """WITH d AS (SELECT doc_id, hex(encode(text)) AS x FROM documents WHERE length(text) > 0),
+    m AS (SELECT doc_id, i FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 2)) AS i FROM d) WHERE substr(x, 2 * i + 1, 6) = '746865'),
+    p AS (SELECT doc_id, sum(1 + (i % 512 > 509)::BIGINT) AS pieces FROM m GROUP BY 1)
+    SELECT doc_id AS stream_id_hex, 'a_to_b' AS direction, least(pieces, 4096)::BIGINT AS kept, greatest(pieces - 4096, 0)::BIGINT AS dropped FROM p""",
+)
+def highlight_counts(spark, sf_dir):
+    """Matches of a literal in segments of 512 bytes; a match across two segments has a part in each."""
+    chunks = _document_chunks(spark, sf_dir).where(F.length("data") > 0)
+    found = patterns.scan(chunks.withColumn("stream_id_hex", F.col("stream_id_hex").cast("string")), patterns.compile_patterns(["the"]))
+    found = found.withColumn("stream_id_hex", F.col("stream_id_hex").cast("long"))
+    return content.highlight_counts(content.split(content.ranges(chunks), 512), found)
+
+
+@query(
+    "m7_run_cap",
+    """WITH d AS (SELECT doc_id, hex(encode(text)) AS x FROM documents WHERE doc_id IS NOT NULL AND length(text) > 0),
+    m AS (SELECT doc_id, i FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 2)) AS i FROM d) WHERE substr(x, 2 * i + 1, 6) = '746865'),
+    r AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM m),
+    c AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id, k) AS n FROM r WHERE k <= 1024)
+    SELECT (SELECT count(*) FROM c WHERE n <= 1000000)::BIGINT AS matches, ((SELECT count(*) FROM m) - (SELECT count(*) FROM c WHERE n <= 1000000))::BIGINT AS dropped,
+    (SELECT count(DISTINCT doc_id) FROM m)::BIGINT AS matched_streams""",
+)
+def run_cap(spark, sf_dir):
+    """A document is one packet; the limits of a stream and of a run are the features."""
+    chunks = _document_chunks(spark, sf_dir).where("stream_id_hex is not null").where(F.length("data") > 0).withColumn("packet_no", F.col("stream_id_hex"))
+    found = patterns.scan(chunks.withColumn("stream_id_hex", F.col("stream_id_hex").cast("string")), patterns.compile_patterns(["the"]))
+    return patterns.match_stats(patterns.capped(found)).select("matches", "dropped", "matched_streams")
+
+
 @query("h10_fixture_mixed")
 def mixed_fixture(spark, sf_dir):
     keyed = packets.with_flow(packets.decode(tables.fixture_packets(spark, "mixed-services", 200, 3)))
@@ -186,7 +290,7 @@ def mixed_fixture(spark, sf_dir):
     SELECT count(*)::BIGINT AS matches, count(DISTINCT conv_id)::BIGINT AS matched_streams FROM (SELECT conv_id, unnest(range(1, length(x) - 1)) AS i, x FROM s) WHERE substr(x, i, 3) = 'the'""",
 )
 def stream_literals(spark, sf_dir):
-    found = patterns.capped(patterns.scan(conversation_chunks(spark, sf_dir), patterns.compile_patterns(["the"])), 1 << 40)
+    found = patterns.capped(patterns.scan(conversation_chunks(spark, sf_dir), patterns.compile_patterns(["the"])), 1 << 40, None)
     return patterns.match_stats(found).select("matches", "matched_streams")
 
 

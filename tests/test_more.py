@@ -89,3 +89,55 @@ def test_server(run):
     with pytest.raises(urllib.error.HTTPError):
         get("/streams/0000000000000000")
     http.shutdown()
+
+
+def test_run_cap(spark):
+    rows = [("s", "a_to_b", "p", no, 1, at, at + 1, b"x") for no in (1, 70_000) for at in range(4)] + [("u", "a_to_b", "p", 2, 1, 0, 1, b"x")]
+    df = spark.createDataFrame(rows, patterns.MATCHES)
+    of = lambda **limits: sorted((r.stream_id_hex, r.packet_no, r.start) for r in patterns.capped(df, **limits).where("stored").collect())
+    assert len(of()) == 9 and of(total=0) == []
+    assert of(per_stream=3, total=None) == [("s", 1, 0), ("s", 1, 1), ("s", 1, 2), ("u", 2, 0)]
+    assert of(per_stream=6, total=6) == [("s", 1, 0), ("s", 1, 1), ("s", 1, 2), ("s", 1, 3), ("s", 70_000, 0), ("u", 2, 0)]
+
+
+def test_literal_automaton():
+    found = patterns.Matcher(patterns.compile_patterns(["he", "she", "he"], (), ["68 65 ff"]))
+    assert found.find(b"she\xff") == {("substring:0", 1, 3), ("substring:2", 1, 3), ("substring:1", 0, 3), ("binary:0", 1, 4)}
+    assert found.find(b"she he", 4) == {("substring:0", 4, 6), ("substring:2", 4, 6)}
+    assert patterns.Matcher([]).find(b"x") == set()
+
+
+def test_messages_beyond_the_cap():
+    flow = streams.Flow("0000000000000001", "tcp", 4000, 80)
+    rows = list(flow.push(1, False, 1, 0, b"GET /x HTTP/1.1\r\n\r\n" * 515))
+    assert sum(r["tag"] == "message" for r in rows) == 512 and [r["size"] for r in rows if r["tag"] == "dropped"] == [3]
+
+
+def test_highlights_across_spans(spark):
+    big = content.SEGMENT_BYTES
+    rows = [("s", "a_to_b", 0, big + 10), ("s", "a_to_b", big + 10, 3 * big)]
+    segments = spark.createDataFrame(rows, "stream_id_hex string, direction string, start long, end long")
+    hits = spark.createDataFrame([("s", "a_to_b", "p", big - 2, 2 * big + 5)], "stream_id_hex string, direction string, pattern_id string, start long, end long")
+    got = sorted((r.start, r.end, r.segment_start) for r in content.highlights(segments, hits).collect())
+    assert got == [(big - 2, big + 10, 0), (big + 10, 2 * big + 5, big + 10)]
+    assert [(r.kept, r.dropped) for r in content.highlight_counts(segments, hits, 1).collect()] == [(1, 1)]
+
+
+def test_slice_errors(spark):
+    known = spark.createDataFrame([("s",), ("u",)], "stream_id_hex string")
+    stored = spark.createDataFrame([("s", 0)], "stream_id_hex string, start long")
+    of = lambda *a: content.slice_error(stored, known, *a)
+    assert [of("s"), of("u"), of("x"), of("s", 0)] == [None, "no_content", "unknown_stream", "empty_request"]
+
+
+def test_running_classes():
+    from capstride.functions import detection
+
+    data = bytes(range(256)) * 20
+    for low, high in ((0, len(data)), (32, 127), (9, 14), (128, 256), (65, 5065)):
+        whole, parts = detection.Classes(), detection.Classes()
+        whole.add(data[low:high])
+        for k in range(low, high, 7):
+            parts.add(data[k : min(k + 7, high)])
+        assert whole == parts and whole.size == min(4096, high - low)
+    assert detection.content_kind(b"a\x01" * 5) == "binary" and detection.content_kind(b"a b\n") == "text"
