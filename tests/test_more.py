@@ -83,8 +83,8 @@ def test_server(run):
     page = get("/streams?profile=http&limit=2")
     assert all(r["service"] == "http" for r in page) and page[0]["match_count"] >= 1
     key = page[0]["stream_id_hex"]
-    assert get(f"/streams/{key}/content?mode=text")[0]["data"].startswith("GET /mixed/")
-    assert get(f"/streams/{key}/messages")[0]["summary"].startswith("GET /mixed/") and get(f"/streams/{key}/matches")
+    assert get(f"/streams/{key}/content?mode=text")[0]["data"].startswith("GET /shelf/")
+    assert get(f"/streams/{key}/messages")[0]["summary"].startswith("GET /shelf/") and get(f"/streams/{key}/matches")
     assert {p["profile"] for p in get("/profiles")} == {p.id for p in views.BUILTIN}
     with pytest.raises(urllib.error.HTTPError):
         get("/streams/0000000000000000")
