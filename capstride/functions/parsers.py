@@ -141,6 +141,8 @@ class Http1:
     @staticmethod
     def _sync(b: bytes) -> int | None:
         """The first place where a message starts, or may start with what comes next."""
+        if b.startswith(tuple(_STARTS)):
+            return 0
         found = [k for s in _STARTS if (k := b.find(s)) >= 0]
         longest = max(map(len, _STARTS))
         for k in range(max(0, len(b) - longest + 1), len(b)):
