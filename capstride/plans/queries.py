@@ -552,6 +552,24 @@ def content_kind(spark, sf_dir):
     return t(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", counts["sampled"].alias("sampled"), native.content_kind(counts).alias("content_kind"))
 
 
+@query(
+    "i6_i7_byte_classes",
+    """WITH r AS (SELECT doc_id, 'text' AS bytes_of, hex(encode(text)) AS x FROM documents WHERE text IS NOT NULL UNION ALL SELECT doc_id, 'digest', upper(md5(text)) FROM documents WHERE text IS NOT NULL),
+    h AS (SELECT doc_id, bytes_of, regexp_replace(substr(x, 1, 8192), '(..)', '\\1,', 'g') AS x FROM r),
+    c AS (SELECT doc_id, bytes_of, length(x) // 3 AS n, len(regexp_extract_all(x, '00,')) AS nulls, len(regexp_extract_all(x, '(09|0A|0D|20),')) AS whitespace,
+        len(regexp_extract_all(x, '(0[1-8BCEF]|1.|7F),')) AS control FROM h)
+    SELECT doc_id, bytes_of, n::BIGINT AS sampled, nulls::BIGINT AS nulls, whitespace::BIGINT AS whitespace, control::BIGINT AS control, (n - nulls - whitespace - control)::BIGINT AS printable,
+    CASE WHEN n = 0 THEN 'unknown' WHEN nulls > 0 OR control * 100 // n > 5 THEN 'binary' WHEN (n - nulls - control) * 100 // n >= 90 THEN 'text' ELSE 'mixed' END AS content_kind FROM c""",
+)
+def byte_classes(spark, sf_dir):
+    """Of texts, and of their digests, whose bytes are of all classes."""
+    texts = t(spark, sf_dir, "documents").where("text IS NOT NULL")
+    raw = texts.select("doc_id", F.lit("text").alias("bytes_of"), F.encode("text", "UTF-8").alias("data"))
+    raw = raw.unionByName(texts.select("doc_id", F.lit("digest").alias("bytes_of"), F.unhex(F.md5(F.encode("text", "UTF-8"))).alias("data")))
+    counts = native.class_counts(F.col("data"))
+    return raw.select("doc_id", "bytes_of", *[c.alias(n) for n, c in counts.items()], native.content_kind(counts).alias("content_kind"))
+
+
 @query("i10_port_service")
 def port_service(spark, sf_dir):
     from ..functions.detection import PORTS
