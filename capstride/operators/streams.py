@@ -57,6 +57,11 @@ class Flow:
     since: list = field(default_factory=lambda: [0, 0])
     told: tuple | None = None
     events: int = 0
+    dns_port: bool = False
+
+    def __post_init__(self):
+        # a client's own port may be another service's, which then names the flow; its datagrams are read all the same
+        self.dns_port = any(detection.PORTS.get((self.protocol, p), ("",))[0] in DNS_SERVICES for p in (self.a_port, self.b_port))
 
     def row(self, tag: str, no: int, back: bool, **more) -> dict:
         self.events += 1
@@ -106,7 +111,7 @@ class Flow:
             )
         if self.protocol == "udp" and payload:
             ordinal, start = self.datagrams[back]
-            if self.seen.service in DNS_SERVICES and detection.is_dns("udp", payload):
+            if (self.seen.service in DNS_SERVICES or self.dns_port) and detection.is_dns("udp", payload):
                 m = parsers.parse_dns(payload, ordinal, start)
                 if m:
                     self.datagrams[back][0] += 1
